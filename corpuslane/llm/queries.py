@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslane.llm import near_duplicates
 from corpuslane.llm.leakage import SPAN, leaks
 from corpuslane.session import read
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.pairs(read(spark, d, "chunks"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.groups(read(spark, d, "chunks"))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
