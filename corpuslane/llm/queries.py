@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslane.llm import near_duplicates
+from corpuslane.llm import encoding, near_duplicates
 from corpuslane.llm.leakage import SPAN, leaks
 from corpuslane.session import read
 
@@ -19,6 +19,14 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(read(spark, d, "chunks"))
 
 
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(read(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_repaired(spark, d).select("row_id", "field")
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
