@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslane.llm import encoding, near_duplicates
+from corpuslane.llm import encoding, language, near_duplicates, packing
 from corpuslane.llm.leakage import SPAN, leaks
 from corpuslane.session import read
 
@@ -27,6 +27,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_repaired(spark, d).select("row_id", "field")
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    capacities = {r.budget_id: r.capacity for r in read(spark, d, "token_budgets").select("budget_id", "capacity").collect()}
+    return packing.pack(packing.token_counts(read(spark, d, "documents")), capacities)
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
@@ -35,6 +40,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).where(f"exact_run >= {SPAN}").select("doc_id", "item_id").distinct()
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(read(spark, d, "documents"), read(spark, d, "language_codes")).select("doc_id", "lang")
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = read(spark, d, "documents")
+    return language.sentences(documents, language.fit(documents, read(spark, d, "language_codes"))).drop("closed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
