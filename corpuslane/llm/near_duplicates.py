@@ -94,11 +94,12 @@ def _keyed(rows: DataFrame, size: int, with_text: bool) -> DataFrame:
 
 def _candidates(rows: DataFrame, size: int) -> DataFrame:
     """Distinct (a, b), a <= b: digests that share a band, and (d, d) for texts with copies."""
-    bands = _bands(rows, size).repartition("h")
+    bands = _bands(rows, size).where("h is not null and digest is not null").repartition("h")  # so that one exchange serves all branches
     buckets = bands.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b")).where("n > 1")
     two = buckets.where("n = 2 or a = b").select("a", "b")
     more = buckets.where("n > 2 and a < b").select("h")
-    x, y = (bands.join(more, "h").select("h", F.col("digest").alias(k)).distinct() for k in "ab")
+    shared = cut(bands.join(more.hint("shuffle_hash"), "h").distinct())
+    x, y = (shared.select("h", F.col("digest").alias(k)) for k in "ab")
     return two.unionByName(x.join(y, "h").where("a <= b").select("a", "b")).distinct()
 
 
