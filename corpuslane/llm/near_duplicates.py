@@ -96,11 +96,12 @@ def _candidates(rows: DataFrame, size: int) -> DataFrame:
     """Distinct (a, b), a <= b: digests that share a band, and (d, d) for texts with copies."""
     bands = _bands(rows, size).where("h is not null and digest is not null").repartition("h")  # so that one exchange serves all branches
     buckets = bands.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b")).where("n > 1")
-    two = buckets.where("n = 2 or a = b").select("a", "b")
+    two = buckets.where("n = 2 or a = b").select(F.lit(None).cast("bigint").alias("h"), "a", "b")
     more = buckets.where("n > 2 and a < b").select("h")
-    shared = cut(bands.join(more.hint("shuffle_hash"), "h").distinct())
-    x, y = (shared.select("h", F.col("digest").alias(k)) for k in "ab")
-    return two.unionByName(x.join(y, "h").where("a <= b").select("a", "b")).distinct()
+    larger = bands.join(more.hint("shuffle_hash"), "h").select("h", F.col("digest").alias("a"), F.col("digest").alias("b")).distinct()
+    found = cut(two.unionByName(larger))  # one job, in which the exchange of the bands is written once
+    x, y = (found.where("h is not null").select("h", k) for k in "ab")
+    return found.where("h is null").select("a", "b").unionByName(x.join(y, "h").where("a <= b").select("a", "b")).distinct()
 
 
 def _verified(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
