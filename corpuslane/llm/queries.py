@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuslane.llm import encoding, language, near_duplicates, packing
+from corpuslane.llm import emails, encoding, language, near_duplicates, packing
 from corpuslane.llm.leakage import SPAN, leaks
 from corpuslane.session import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return emails.new_lines(read(spark, d, "parsed_emails")).select("email_id", "line_no")
+
+
+def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
+    table = read(spark, d, "parsed_emails")
+    new = emails.new_lines(table).groupBy("email_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    return table.select("email_id", emails.bare_subject(F.col("subject")).alias("subject")).join(new, "email_id", "left").select("email_id", "subject", F.array_join("x.line", "\n").alias("new_text"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.pairs(read(spark, d, "chunks"))
 
