@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslane.llm import emails, encoding, language, near_duplicates, packing
+from corpuslane.llm import code_docs, emails, encoding, language, near_duplicates, packing
 from corpuslane.llm.leakage import SPAN, leaks
 from corpuslane.session import read
 
@@ -22,6 +22,14 @@ def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
     return table.select("email_id", emails.bare_subject(F.col("subject")).alias("subject")).join(new, "email_id", "left").select("email_id", "subject", F.array_join("x.line", "\n").alias("new_text"))
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return code_docs.documented(read(spark, d, "code_files"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pairs(spark, d).where("source = 'own'").select("file_id", "line_start").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.pairs(read(spark, d, "chunks"))
 
