@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslane.llm import code_docs, emails, encoding, language, markup, near_duplicates, packing
+from corpuslane.llm import code_docs, emails, encoding, language, markup, near_duplicates, packing, page_content
 from corpuslane.llm.leakage import SPAN, leaks
 from corpuslane.session import read
 
@@ -54,6 +54,14 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.cleaned(read(spark, d, "chunks")).select("row_id", F.array_join("markup", ",").alias("markup"), "text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_content.main_lines(read(spark, d, "url_contents"))
+
+
+def p7_main(spark: SparkSession, d: str) -> DataFrame:
+    return page_content.main_text(read(spark, d, "url_contents"))
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     capacities = {r.budget_id: r.capacity for r in read(spark, d, "token_budgets").select("budget_id", "capacity").collect()}
     return packing.pack(packing.token_counts(read(spark, d, "documents")), capacities)
