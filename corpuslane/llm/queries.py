@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslane.llm import code_docs, emails, encoding, language, markup, near_duplicates, packing, page_content
+from corpuslane.llm import code_docs, emails, encoding, language, markup, near_duplicates, packing, page_content, scans
 from corpuslane.llm.leakage import SPAN, leaks
 from corpuslane.session import read
 
@@ -46,6 +46,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_repaired(spark, d).select("row_id", "field")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(read(spark, d, "pdf_pages"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(read(spark, d, "pdf_pages"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.marked(read(spark, d, "chunks"))
 
