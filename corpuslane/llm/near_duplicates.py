@@ -80,16 +80,15 @@ def _bands(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "h bigint, digest bigint")
 
 
-def _keyed(rows: DataFrame, size: int, with_text: bool) -> DataFrame:
-    """(digest, row_id[, text]); digest is null for texts of fewer than `size` words."""
+def _keyed(rows: DataFrame, size: int) -> DataFrame:
+    """(digest, row_id, text); digest is null for texts of fewer than `size` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [_digest(w) if len(w := _words(t)) >= size else None for t in batch.column(1).to_pylist()]
-            columns = [pa.array(keys, pa.int64()), batch.column(0)] + ([batch.column(1)] if with_text else [])
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "row_id", "text"][: len(columns)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1)], ["digest", "row_id", "text"])
 
-    return rows.mapInArrow(run, "digest bigint, row_id bigint" + (", text string" if with_text else ""))
+    return rows.mapInArrow(run, "digest bigint, row_id bigint, text string")
 
 
 def _candidates(rows: DataFrame, size: int) -> DataFrame:
@@ -128,7 +127,7 @@ def _links(rows: DataFrame, size: int, threshold: float) -> tuple[DataFrame, Dat
     ends = candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     if ends.count() <= MOST_BROADCAST:
         ends = F.broadcast(ends)
-    members = cut(_keyed(rows, size, True).join(ends, "digest", "left_semi"))
+    members = cut(_keyed(rows, size).join(ends, "digest", "left_semi"))
     texts = members.groupBy("digest").agg(F.min(F.struct("row_id", "text")).alias("r")).select("digest", "r.text")
     a, b = (texts.select(F.col("digest").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
     links = _verified(candidates.where("a < b").join(a, "a").join(b, "b"), size, threshold)
@@ -168,4 +167,5 @@ def groups(table: DataFrame, row_id: str = "row_id", text: str = "text", size: i
     found = components(links, "a", "b").select(F.col("node").alias("digest"), "component")
     known = cut(copies.join(found, "digest", "left").join(partners, "digest", "left").select("digest", "least", F.coalesce("component", "digest").alias("component"), (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("links")))
     classes = known.join(known.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("digest", "class_id", "links")
-    return _keyed(rows, size, False).join(classes, "digest", "left").select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    of_rows = members.join(classes, "digest").select("row_id", "class_id", "links")  # all other rows are classes of their own
+    return rows.select("row_id").join(of_rows, "row_id", "left").select("row_id", F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
