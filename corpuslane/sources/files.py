@@ -120,10 +120,10 @@ def messages(content: bytes, is_box: bool) -> Iterator[dict]:
 
 def read_emails(files: DataFrame) -> DataFrame:
     """A row per message of .eml and .mbox files (path, content); HTML-only messages get their text from the HTML."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(EMAIL_SCHEMA), timezone="UTC")
+    text = pa.string()
+    attachment = pa.struct([("filename", text), ("content_type", text), ("size", pa.int64()), ("content", pa.binary())])
+    kinds = (text, text, text, text, pa.list_(text), pa.list_(text), pa.timestamp("us", "UTC"), text, text, pa.list_(attachment), pa.map_(text, text), text)
+    schema = pa.schema(list(zip([x.split(" ")[0] for x in re.split(r", (?=\w+ )", EMAIL_SCHEMA)], kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
