@@ -95,7 +95,7 @@ def code_blocks(text: str) -> list[tuple[int, int, int, int]]:
                 break
             inside = not inside
         before = text[: fences[0].start()]
-        if len(fences) % 2 and not fences[0][1] and before.strip() and not re.search(r"[.!?…”\"):]\s*$|\]\s*$", before, re.M) and not is_markdown(before):
+        if len(fences) % 2 and not fences[0][1] and before.strip() and not re.search(r"[^\W\d_][.!?…”\"]\s*$", before, re.M) and not is_markdown(before):
             closing_first = True
     k = 0
     if closing_first:
@@ -207,11 +207,11 @@ def _wiki_to_text(t: str) -> str:
     t = re.sub(r"\{\{[^{}\n]*\}\}", "", t)
     t = re.sub(r"'{2,5}", "", t)
     t = re.sub(r"<ref\b[^>]*?(?:/>|>.*?</ref>)", "", t, flags=re.S)
+    t = re.sub(r"^[*#:]+ ?(?=\S)", "- ", t, flags=re.M)
     t = re.sub(r"^(={2,6})\s*([^=\n](?:[^\n]*?[^=\s])?)\s*\1[ \t]*$", lambda m: f"{'#' * (len(m[1]) - 1)} {m[2]}", t, flags=re.M)
     t = re.sub(r"^(?:\{\|.*|\|\}|\|-+)[ \t]*\n?", "", t, flags=re.M)
     t = re.sub(r"^[|!] ?(.*)$", lambda m: re.sub(r"\s*(?:\|\||!!)\s*", "\t", m[1]), t, flags=re.M)
-    t = re.sub(r"^; ?([^\n]*?) : ", r"- \1: ", t, flags=re.M)
-    return re.sub(r"^[*#:]+ ?(?=\S)", "- ", t, flags=re.M)
+    return re.sub(r"^; ?([^\n]*?) : ", r"- \1: ", t, flags=re.M)
 
 
 def _markdown_to_text(t: str) -> str:
