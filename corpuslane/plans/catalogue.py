@@ -117,6 +117,7 @@ def email_full_text(spark, d):
 # chunkers
 for _name, _method in (("chunk_sentences", "sentences"), ("chunk_sentence_kit", "sentences_kit"), ("chunk_char", "characters"), ("chunk_char_core", "breaks"), ("chunk_recursive", "recursive")):
     QUERIES[_name] = lambda s, d, m=_method: chunkers.chunked(read(s, d, "documents"), m)
+SQL["chunk_char"], SQL["chunk_char_core"] = O.CHUNK_CHAR, O.CHUNK_CORE
 
 
 @query("""WITH p AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
@@ -368,7 +369,7 @@ def chat_history_window(spark, d):
     return table.history_window(_turns(spark, d)).withColumn("turn", F.col("turn").cast("bigint")).withColumn("from_end", F.col("from_end").cast("bigint"))
 
 
-@query()
+@query(O.CHAT_RETRIEVE)
 def chat_retrieve(spark, d):
     return search.bm25_search(read(spark, d, "documents"), answer.context_query(_turns(spark, d)).withColumnRenamed("conv_id", "qid"), 5)
 
@@ -379,7 +380,7 @@ def get_conversation(spark, d):
     return turns.join(F.broadcast(turns.agg(F.min("conv_id").alias("conv_id"))), "conv_id", "left_semi")
 
 
-@query()
+@query(O.RATE_LIMIT)
 def rate_limit_log(spark, d):
     return answer.rate_limited(read(spark, d, "events"), 3, 86_400).select("event_id", "user_id", "allowed")
 
@@ -416,7 +417,7 @@ def code_symbols_generic(spark, d):
     return rows.withColumn("s", s).where("s is not null").select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "s.name", "s.kind", F.substring(F.trim("line"), 1, 80).alias("signature"))
 
 
-@query()
+@query(O.summary())
 def code_summary(spark, d):
     return code_symbols.summary(read(spark, d, "code_files"))
 

@@ -140,9 +140,9 @@ raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(coun
 terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
-def bm25(where: str, k: int) -> str:
-    return f"""WITH {BM25_BASE},
-asked AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({tokens('query')}) AS term FROM eval_items {where}) GROUP BY qid, term),
+def bm25(where: str, k: int, source: str = "(SELECT item_id AS qid, item_id, query FROM eval_items)", before: str = "") -> str:
+    return f"""WITH {before}{BM25_BASE},
+asked AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tokens('query')}) AS term FROM {source} {where}) GROUP BY qid, term),
 s AS (SELECT qid, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN terms USING (term) JOIN postings USING (term), corpus GROUP BY qid, doc_id)
 SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {k}"""
 
@@ -235,3 +235,39 @@ def symbols(lang: str | None, patterns: list[tuple[str, int, str]]) -> str:
     kind = " ".join(f"WHEN regexp_matches(line, {q(p)}) THEN '{k}'" for p, _, k in patterns)
     where = f"WHERE lang = '{lang}'" if lang else ""
     return f"WITH {CODE_LINES}, s AS (SELECT file_id, line_no, CASE {name} END AS name, CASE {kind} END AS kind, substring(trim(line), 1, 80) AS signature FROM lines {where}) SELECT * FROM s WHERE kind IS NOT NULL"
+
+
+def windows(text: str, size: int, overlap: int, ends: str) -> str:
+    """Chunks by windows; `ends` gives the end of a window w that begins at s and does not reach the text's end.
+
+    reverse() keeps CR LF together, hence the stand-in for CR.
+    """
+    step = f"least(s + {size}, n)"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {text} AS t FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, s, e, n FROM (SELECT doc_id, s, n, CASE WHEN {step} < n THEN {ends} ELSE {step} END AS e FROM (SELECT doc_id, 0::BIGINT AS s, length(t) AS n, replace(substring(t, 1, {size}), chr(13), 'x') AS w FROM d WHERE length(t) > 0))
+    UNION ALL SELECT doc_id, s, CASE WHEN {step} < n THEN {ends} ELSE {step} END AS e, n FROM (SELECT doc_id, s, n, replace(substring(t, s + 1, {size}), chr(13), 'x') AS w FROM (SELECT doc_id, CASE WHEN e - {overlap} > s THEN e - {overlap} ELSE e END AS s, n FROM c WHERE e < n) JOIN d USING (doc_id))),
+p AS (SELECT doc_id, s, e, {strip("substring(t, s + 1, e - s)")} AS text FROM c JOIN d USING (doc_id))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS chunk_id, text, s::INT AS start_char, e::INT AS end_char FROM p WHERE text <> ''"""
+
+
+_DOT = "greatest(CASE WHEN contains(w, '. ') THEN length(w) - strpos(reverse(w), ' .') - 1 ELSE -1 END, CASE WHEN contains(w, chr(10)) THEN length(w) - strpos(reverse(w), chr(10)) ELSE -1 END)"
+_BLANK = "(CASE WHEN contains(w, ' ') THEN length(w) - strpos(reverse(w), ' ') ELSE -1 END)"
+CHUNK_CORE = windows("text", 1000, 150, f"CASE WHEN {_DOT} > 500 THEN s + {_DOT} + 1 WHEN {_BLANK} > 500 THEN s + {_BLANK} ELSE s + 1000 END")
+CHUNK_CHAR = windows(normalize_kit("text"), 1000, 100, f"CASE WHEN {_BLANK} >= 500 THEN s + {_BLANK} + 1 ELSE s + 1000 END")
+RATE_LIMIT = """WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+f AS (SELECT event_id, user_id, rn, true AS allowed, [ts] AS log FROM o WHERE rn = 1
+    UNION ALL SELECT event_id, user_id, rn, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, ts) ELSE live END FROM (SELECT o.event_id, o.user_id, o.rn, o.ts, list_filter(f.log, lambda x: x > o.ts - INTERVAL 1 DAY) AS live FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1))
+SELECT event_id, user_id, allowed FROM f"""
+CHAT_RETRIEVE = bm25("", 5, "(SELECT conv_id AS qid, string_agg(text, ' ' ORDER BY turn) AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM turns) WHERE p <= 5 AND role = 'user' GROUP BY conv_id)", TURNS.removeprefix("WITH ") + ", ")
+
+
+def summary() -> str:
+    from corpuslane.operators.code_symbols import PATTERNS
+
+    named = " UNION ALL ".join([f"SELECT file_id, line_no, name FROM ({PYTHON})"] + [f"SELECT file_id, line_no, name FROM ({symbols(x, PATTERNS[x])})" for x in ("javascript", "go", "rust", "java")])
+
+    def first(rows: str, column: str, k: int) -> str:
+        return f"SELECT file_id, string_agg({column}, ', ' ORDER BY r) AS v FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no, {column}) AS r FROM ({rows})) WHERE r <= {k} GROUP BY file_id"
+
+    return f"""SELECT f.file_id, 'File: ' || path || chr(10) || 'Language: ' || {language('path')} || coalesce(chr(10) || 'Imports: ' || i.v, '') || coalesce(chr(10) || 'Symbols: ' || s.v, '') AS summary
+FROM code_files f LEFT JOIN ({first(IMPORTS, 'import', 10)}) i ON i.file_id = f.file_id LEFT JOIN ({first(named, 'name', 20)}) s ON s.file_id = f.file_id"""
