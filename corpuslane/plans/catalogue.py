@@ -185,6 +185,14 @@ def delete_document(spark, d):
     return table.delete_document(chunks, chunks.agg(F.min("doc_id")).first()[0]).select("row_id", "doc_id", "chunk_id")
 
 
+@query(f"""WITH f AS (SELECT doc_id, filename, coalesce(lower(regexp_extract(regexp_extract(filename, '[^/]*$', 0), '[^.](\\.[^.]+)$', 1)), '') IN ({', '.join(O.q(x) for x in table.ALLOWED)}) AS good, coalesce(text, '') AS t FROM documents),
+    g AS (SELECT *, min(doc_id) FILTER (WHERE good) OVER (PARTITION BY t) AS first, {O.normalize('t')} AS clean FROM f)
+    SELECT doc_id, filename, substring(sha256(t), 1, 16) AS content_id, CASE WHEN NOT good THEN 'error' WHEN doc_id <> first OR clean = '' THEN 'skipped' ELSE 'success' END AS status, CASE WHEN good AND doc_id = first AND clean <> '' THEN length(clean) ELSE 0 END::BIGINT AS chars FROM g""")
+def ingest_status(spark, d):
+    """The ingestion report without its chunk counts, which SQL cannot give."""
+    return table.ingest_report(read(spark, d, "documents")).select("doc_id", "filename", "content_id", "status", "chars")
+
+
 @query()
 def ingest_report(spark, d):
     return table.ingest_report(read(spark, d, "documents"))

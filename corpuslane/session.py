@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,21 @@ def build(master: str = "local[8]", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors, once for each context; also to those that start later."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_has_corpuslane", False):
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="corpuslane-")) / "corpuslane.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        sc._has_corpuslane = True
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
