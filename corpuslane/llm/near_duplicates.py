@@ -19,8 +19,10 @@ from corpuslane.llm.words import MULTIPLIERS, WORD, WordValues, mixed, windows
 from corpuslane.operators.components import components
 from corpuslane.session import cut
 
-#: 48 bands of 4 minima find a pair of similarity 0.6 with probability 0.999 and one of 0.7 with 0.999999.
-BANDS, ROWS = 48, 4
+#: 60 bands of 4 minima find a pair of similarity 0.5 with probability 0.979, 0.55 with 0.997 and 0.6 with 0.9998.
+BANDS, ROWS = 60, 4
+#: Bits of a band's value: chance meetings, which verification drops, are rare enough, and fewer bytes are shuffled.
+BAND_BITS = 40
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _A = _RANDOM.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -46,17 +48,22 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _bands(rows: DataFrame, size: int) -> DataFrame:
-    """(h, digest): a row per band of each text, and one or two under a value of the digest itself to tell copies."""
+    """(h, digest, row_id): a row per band of each text, and one or two under a value of the digest to tell copies.
+
+    row_id is null in these; a further row for each row of the table has it, under a value of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, seen = WordValues(), {}
         for batch in batches:
-            flat, lengths, digests, again = [], [], [], []
-            for text in batch.column(0).to_pylist():
+            flat, lengths, digests, again, all_digests, ids = [], [], [], [], [], []
+            for text, row_id in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
                 words = _words(text)
                 if len(words) < size:
                     continue
                 d = _digest(words)
+                all_digests.append(d)
+                ids.append(row_id)
                 if d in seen:
                     if not seen[d]:
                         seen[d] = True
@@ -67,6 +74,7 @@ def _bands(rows: DataFrame, size: int) -> DataFrame:
                 lengths.append(len(words))
                 digests.append(d)
             own = np.array(digests + again, np.int64)
+            each = np.array(all_digests, np.int64)
             h, of = [mixed(own.view(np.uint64) ^ MULTIPLIERS[-1])], [own]
             if lengths:
                 shingles, runs = windows(np.array(flat, np.uint64), np.array(lengths), size)
@@ -75,32 +83,28 @@ def _bands(rows: DataFrame, size: int) -> DataFrame:
                 signature = np.stack([minima(low[e - n : e]) for n, e in zip(runs.tolist(), ends.tolist())]).astype(np.uint64).reshape(len(runs), BANDS, ROWS)
                 h.append(mixed((signature * MULTIPLIERS[:ROWS]).sum(axis=2, dtype=np.uint64) + _BAND).ravel())
                 of.append(np.repeat(np.array(digests, np.int64), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(of))], ["h", "digest"])
-
-    return rows.select("text").mapInArrow(run, "h bigint, digest bigint")
-
-
-def _keyed(rows: DataFrame, size: int) -> DataFrame:
-    """(digest, row_id, text); digest is null for texts of fewer than `size` words."""
+            # negative values: one for each row of the table, spread over all partitions
+            rest = -1 - (np.array(ids, np.int64) & np.int64(2**62 - 1))
+            bands = (np.concatenate(h) >> np.uint64(64 - BAND_BITS)).astype(np.int64)
+            of = np.concatenate([*of, each])
+            row_ids = pa.concat_arrays([pa.nulls(len(bands), pa.int64()), pa.array(ids, pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((bands, rest))), pa.array(of), row_ids], ["h", "digest", "row_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [_digest(w) if len(w := _words(t)) >= size else None for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), batch.column(1)], ["digest", "row_id", "text"])
-
-    return rows.mapInArrow(run, "digest bigint, row_id bigint, text string")
+    return rows.where("row_id is not null").select("row_id", "text").mapInArrow(run, "h bigint, digest bigint, row_id bigint")
 
 
-def _candidates(rows: DataFrame, size: int) -> DataFrame:
-    """Distinct (a, b), a <= b: digests that share a band, and (d, d) for texts with copies."""
+def _candidates(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a <= b: digests that share a band, and (d, d) for texts with copies; and (digest, row_id) of all rows."""
     bands = _bands(rows, size).where("h is not null and digest is not null").repartition("h")  # so that one exchange serves all branches
-    buckets = bands.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b")).where("n > 1")
-    two = buckets.where("n = 2 or a = b").select(F.lit(None).cast("bigint").alias("h"), "a", "b")
-    more = buckets.where("n > 2 and a < b").select("h")
-    larger = bands.join(more.hint("shuffle_hash"), "h").select("h", F.col("digest").alias("a"), F.col("digest").alias("b")).distinct()
-    found = cut(two.unionByName(larger))  # one job, in which the exchange of the bands is written once
-    x, y = (found.where("h is not null").select("h", k) for k in "ab")
-    return found.where("h is null").select("a", "b").unionByName(x.join(y, "h").where("a <= b").select("a", "b")).distinct()
+    # all branches use all columns, and conditions are on aggregates alone: else pruning and pushed-down filters would
+    # make exchanges that differ, and the bands would be computed and written for each of them
+    buckets = bands.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"), F.max("row_id").alias("row_id"))
+    more = buckets.where("row_id is null and n > 2 and a < b").select("h")
+    larger = bands.join(more.hint("shuffle_hash"), "h").select("h", F.lit(0).cast("bigint").alias("n"), F.col("digest").alias("a"), F.col("digest").alias("b"), "row_id").distinct()
+    found = cut(buckets.where("row_id is not null or n = 2 or n > 2 and a = b").unionByName(larger))  # one job, in which the bands are exchanged once
+    x, y = (found.where("row_id is null and n = 0").select("h", k) for k in "ab")
+    pairs = found.where("row_id is null and n > 0").select("a", "b").unionByName(x.join(y, "h").where("a <= b").select("a", "b")).distinct()
+    return pairs, found.where("row_id is not null").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("digest"), "row_id")
 
 
 def _verified(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -123,15 +127,19 @@ def _verified(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
 
 def _links(rows: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, jaccard), a < b, and the rows (digest, row_id) of all digests that have a link or a copy."""
-    candidates = cut(_candidates(rows, size))
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    if ends.count() <= MOST_BROADCAST:
-        ends = F.broadcast(ends)
-    members = cut(_keyed(rows, size).join(ends, "digest", "left_semi"))
-    texts = members.groupBy("digest").agg(F.min(F.struct("row_id", "text")).alias("r")).select("digest", "r.text")
+    candidates, members = _candidates(rows, size)
+    candidates = cut(candidates)
+    ends = _bounded(candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+    members = cut(members.join(ends, "digest", "left_semi"))
+    first = members.groupBy("digest").agg(F.min("row_id").alias("row_id"))
+    texts = rows.join(_bounded(first), "row_id").select("digest", "text")
     a, b = (texts.select(F.col("digest").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    links = _verified(candidates.where("a < b").join(a, "a").join(b, "b"), size, threshold)
-    return links, members.select("digest", "row_id")
+    return _verified(candidates.where("a < b").join(a, "a").join(b, "b"), size, threshold), members
+
+
+def _bounded(small: DataFrame) -> DataFrame:
+    """A table to be broadcast if it is small enough; beyond that the join shuffles."""
+    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
 
 
 def _rows(table: DataFrame, row_id: str, text: str) -> DataFrame:

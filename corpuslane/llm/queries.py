@@ -96,5 +96,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+#: Every pair of chunks that share a run of three words, by brute force.
+P3_SQL = r"""WITH w AS (SELECT row_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM chunks WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+n AS (SELECT row_id, count(*) AS c FROM s GROUP BY row_id),
+p AS (SELECT a.row_id AS ra, b.row_id AS rb, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.row_id < b.row_id GROUP BY ALL)
+SELECT ra AS row_id_a, rb AS row_id_b FROM p JOIN n x ON x.row_id = ra JOIN n y ON y.row_id = rb WHERE k >= 0.5 * (x.c + y.c - k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_SQL}
