@@ -252,3 +252,16 @@ def test_languages(spark):
     assert all(0 <= r.confidence <= 1 for r in got.collect()) and language.mislabelled(table.limit(0), names).count() == 0
     segments = language.sentences(table, language.fit(table, names)).where("doc_id = 101").orderBy("segment").collect()
     assert [s.lang for s in segments] == ["en", "fr"] and segments[0].end == segments[1].start and segments[1].end == len(parts["en"]) + len(parts["fr"]) + 1
+
+
+def test_hot_thread_is_split(spark, monkeypatch):
+    monkeypatch.setattr(emails, "BLOCK", 10)
+    text = [f"Body {' '.join(random.choices(VOCABULARY, k=20))} ends here." for _ in range(60)]
+    items = [(k, f"m{k}", "Hot", f"a{k % 5}@x.example", {"In-Reply-To": f"m{k - 1}"} if k % 2 else None, f"Reply number {k} is new.\n\n{text[k - 1]}" if k % 2 else text[k]) for k in range(60)]
+    assert rows(emails.new_lines(mail(spark, *items)).select("email_id", "line_no")) == [(k, 1) for k in range(60)]
+
+
+def test_hot_copies_are_one_node(spark):
+    d = spark.range(3000).selectExpr("id row_id", "case when id % 3 = 0 then 'the same text in a third of all rows' else concat('row ', id, ' has its own text ', id * 7, ' of words') end text")
+    got = near_duplicates.groups(d).groupBy("class_id").agg(F.count("*").alias("n"), F.max("links").alias("links"))
+    assert rows(got.where("n > 1").select("class_id", "n", "links")) == [(0, 1000, 999)]
