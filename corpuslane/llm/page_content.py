@@ -1,9 +1,9 @@
-"""The main body of web pages, by deduction of each site's template from equivalence classes of tokens.
+"""The main body of web pages, by rules of tags and the equivalence classes of each site's tokens.
 
-Tokens (words, qualified by their path of elements) that occur equally often on every page of a site form an
-equivalence class; large, frequent and ordered classes are template, and what lies between their tokens are slots.
-A slot holds content if it is a block of text (heading, paragraph, list, code) that is not nested in furniture:
-navigation, asides, footers, and generic blocks. Pages without their HTML are read by lines: against the furniture of
+Tokens (words, qualified by their path of elements) that occur equally often on the same pages of a site form an
+equivalence class; large and frequent classes are template. Order and nesting of classes, and the slots between their
+tokens, are not derived: a line is content if it is in a block of text (heading, paragraph, list, code) that is not
+nested in furniture (navigation, asides, footers, and generic blocks), and is no recurring line of template. Pages without their HTML are read by lines: against the furniture of
 their own site, and against lines that recur as furniture on several sites.
 
 A site's pages are compared in blocks of about PAGES, so that no task holds an unbounded site.
