@@ -21,8 +21,15 @@ from pyspark.sql import functions as F
 SHARE, LEAST_COUNT = 2e-6, 3
 #: A file's pages are read in blocks of so many, with one page of overlap.
 PAGES = 64
-#: How much more frequent than the word itself a candidate must be.
-RATIO = 25
+#: How often a word is read as a given other, by one confusion of the tables below, by a sign for some letter, and by
+#: any other single edit (fixed values); edits multiply.
+BY_CONFUSION, BY_SIGN, BY_EDIT = 1 / 25, 1 / 50, 1 / 200
+#: The same for words of the vocabulary, which were read so repeatedly, and for capitalised ones, as names are alike.
+BY_EDIT_AGAIN = 1 / 20_000
+#: Readings, as a count, by which a word outside the vocabulary counts as well read, and if it is capitalised or short.
+UNKNOWN, UNKNOWN_NAME = 0.12, 1.0
+#: Edits that the automaton allows.
+MOST_EDITS = 2
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 TOKEN = re.compile(r"[^\s,;:!?\"“”„»«()\[\].…]+(?:[.,:][^\s,;:!?\"“”„»«()\[\].…]+)*")
 PAGE_NUMBER = re.compile(r"^\W*(?:page|seite|pagina|página|pág|p|s)?\W*(\d{1,5})\s*(?:(?:/|of|von|de|sur|di)\s*\d{1,5})?\W*$", re.I)
@@ -48,54 +55,95 @@ class Trie:
             node[""] = (word, n)
 
     def within(self, word: str, most: int = 1) -> list[tuple[int, str, int]]:
-        """(distance, word, count) of all words within an edit distance, the automaton's states being rows of distances."""
-        found, stack = [], [(self.root, list(range(len(word) + 1)))]
+        """(distance, word, count) of all words within an edit distance.
+
+        The automaton's states are sets of bits for each number of edits; bit k is set where k characters are read.
+        """
+        masks: dict[str, int] = defaultdict(int)
+        for k, c in enumerate(word):
+            masks[c] |= 2 << k
+        end, whole = 1 << len(word), (2 << len(word)) - 1
+        found, stack = [], [(self.root, tuple(((2 << d) - 1) & whole for d in range(most + 1)))]
         while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= most:
-                found.append((row[-1], *node[""]))
+            node, states = stack.pop()
             for c, child in node.items():
-                if c:
-                    new = [row[0] + 1]
-                    for k in range(1, len(row)):
-                        new.append(min(new[-1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != c)))
-                    if min(new) <= most:
-                        stack.append((child, new))
+                if not c:
+                    d = next((d for d, bits in enumerate(states) if bits & end), None)
+                    if d is not None:
+                        found.append((d, *child))
+                    continue
+                mask = masks.get(c, 0)
+                before = states[0]
+                bits = before << 1 & mask
+                new = [bits]
+                for state in states[1:]:
+                    bits = (state << 1 & mask | before << 1 | bits << 1 | before) & whole
+                    new.append(bits)
+                    before = state
+                if bits:
+                    stack.append((child, tuple(new)))
         return found
 
 
+def _confusion(read: str, meant: str, by_edit: float) -> float:
+    """How often meant is read as read, by the likeliest way of confusions, signs and other edits."""
+    best = [[0.0] * (len(meant) + 1) for _ in range(len(read) + 1)]
+    best[0][0] = 1.0
+    for i in range(len(read) + 1):
+        for j in range(len(meant) + 1):
+            x = best[i][j]
+            if i and j:
+                a, b = read[i - 1], meant[j - 1]
+                x = max(x, best[i - 1][j - 1] * (1 if a == b else BY_CONFUSION if b in CONFUSED.get(a, "") else BY_SIGN if a in _SIGNS else by_edit))
+            if i:
+                x = max(x, best[i - 1][j] * by_edit)
+            if j:
+                x = max(x, best[i][j - 1] * by_edit)
+            for old, new in GROUPS:
+                if len(old) <= i and len(new) <= j and read.endswith(old, 0, i) and meant.endswith(new, 0, j):
+                    x = max(x, best[i - len(old)][j - len(new)] * BY_CONFUSION)
+            best[i][j] = x
+    return best[-1][-1]
+
+
 class Reader:
     """Judges and repairs words under a vocabulary of words and pairs of neighbours."""
 
     def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int]):
         self.words, self.pairs, self.trie = words, pairs, Trie(words)
-        self.known: dict[tuple[str, bool], list[tuple[int, str]]] = {}
+        self.top = max(words.values(), default=0)
+        self.known: dict[tuple[str, bool], list[tuple[float, str]]] = {}
 
-    def candidates(self, word: str, complete: bool = True) -> list[tuple[int, str]]:
-        """(count, candidate) of what a misread word may have been; none if the word is good as it is.
+    def candidates(self, word: str, name: bool = False) -> list[tuple[float, str]]:
+        """(expected readings as this word, candidate) of all words that it may be a misreading of, likeliest first.
 
-        Words of the vocabulary are only held against those that confused characters lead to; unknown ones against all
-        words within one edit of the same length (if complete), or more where several of their characters are signs.
+        Confused characters lead to some; the automaton retrieves all others, as far as the most frequent word could be
+        read so often with as many edits.
         """
-        if (word, complete) in self.known:
-            return self.known[word, complete]
-        own, options = self.words.get(word, 0), {}
+        if (word, name) in self.known:
+            return self.known[word, name]
+        own = self.words.get(word, 0)
+        by_edit, least = BY_EDIT_AGAIN if own or name else BY_EDIT, own or UNKNOWN
+        options: dict[str, int] = {}
         if len(word) >= 3 or any(c in _SIGNS for c in word):
             near = {word[:k] + x + word[k + 1 :] for k, c in enumerate(word) for x in CONFUSED.get(c, "")}
             near |= {word[: m.start()] + new + word[m.end() :] for old, new in GROUPS for m in re.finditer(old, word)}
             options = {v: self.words[v] for v in near if v in self.words}
             signs = sum(c in _SIGNS for c in word)
-            if not own and not options and (complete or signs) and len(word) >= 4 and 2 * signs < len(word):
-                options = {w: n for _, w, n in self.trie.within(word, max(1, signs)) if len(w) == len(word) and (not signs or all(a == b or a in _SIGNS for a, b in zip(word, w)))}
-        least = RATIO * max(own, 1)
-        found = sorted(((n, w) for w, n in options.items() if n >= least and w != word), reverse=True)
+            if len(word) >= 3 and 2 * signs < len(word):
+                one = BY_SIGN if signs else by_edit
+                two = (BY_CONFUSION if not own else by_edit) * BY_CONFUSION
+                most = MOST_EDITS if two * self.top >= least else 1 if one * self.top >= least else 0
+                if most := max(most, signs):
+                    options |= {w: n for _, w, n in self.trie.within(word, most)}
+        found = sorted(((n * _confusion(word, w, by_edit), w) for w, n in options.items() if w != word), reverse=True)
         if len(self.known) > 300_000:
             self.known.clear()
-        self.known[word, complete] = found
+        self.known[word, name] = found = [x for x in found if x[0] >= least / 1000][:100]
         return found
 
-    def misread(self, token: str) -> str | None:
-        """The most frequent candidate of a token that is not well read; None for good ones."""
+    def misread(self, token: str, before: str = "", after: str = "") -> str | None:
+        """The candidate that fits a token that is not well read best, between its neighbours; None for good ones."""
         low = token.lower()
         letters = sum(c.isalpha() for c in low)
         if letters < 2 and not (letters and len(low) <= 4 and re.search(r"[a-z|]", low)):
@@ -104,18 +152,25 @@ class Reader:
             return None
         parts = re.split(r"([-’'])", low)
         if len(parts) > 1 and low not in self.words:
+            if whole := self._fitting(token, before, after):
+                return whole
             fixed = [self.misread(p) if k % 2 == 0 and len(p) > 2 else None for k, p in enumerate(parts)]
             return "".join(f or p for f, p in zip(fixed, parts)) if any(fixed) else None
-        found = self.candidates(low, token[0].islower())
-        return found[0][1] if found else None
+        return self._fitting(token, before, after)
 
-    def best(self, token: str, before: str, after: str) -> str | None:
-        """The candidate that fits best between its neighbours."""
-        guess = self.misread(token)
-        if guess is None:
+    def _fitting(self, token: str, before: str, after: str) -> str | None:
+        low = token.lower()
+        own, signs = self.words.get(low, 0), any(c in _SIGNS for c in low)
+        found = self.candidates(low, not token[0].islower() and not signs)
+        if not found:
             return None
-        options = self.candidates(token.lower(), token[0].islower()) or [(1, guess)]
-        return max(options, key=lambda x: (1 + self.pairs.get((before, x[1]), 0)) * (1 + self.pairs.get((x[1], after), 0)) * x[0])[1]
+        fits = [((1 + self.pairs.get((before, w), 0)) * (1 + self.pairs.get((w, after), 0)), n, w) for n, w in found]
+        if own:
+            fits = [x for x in fits if x[1] >= own]
+        else:
+            least = UNKNOWN if signs or token[0].islower() and len(low) >= 4 else UNKNOWN_NAME
+            fits = [x for x in fits if x[0] * x[1] >= least]
+        return max(fits, key=lambda x: (x[0] * x[1], x[2]))[2] if fits else None
 
 
 def _is_title(line: str, width: float) -> bool:
@@ -240,11 +295,12 @@ def analyse(pages: list[_Page], reader: Reader) -> list[tuple[int, int]]:
         if re.search(r"[^\W\d_][-¬\u00ad‐]\s*$", line):
             follow = next(((m, j) for m, j in body[at + 1 : at + 8] if not re.search(r"\d\s*$", pages[m].lines[j]) or len(pages[m].lines[j]) > 50), None)
             right = TOKEN.match(pages[follow[0]].lines[follow[1]].lstrip()) if follow else None
+            if right or not _SIGNS & set(tokens[-1]):
+                last -= 1  # what is cut can't be looked up
             if right:
                 left, r = tokens[-1].rstrip("-¬\u00ad‐"), right[0]
                 whole, spelled = (left + r).lower(), f"{left}-{r}".lower()
                 head = left.rsplit("-", 1)[-1].lower() + r.split("-")[0].lower()
-                last -= 1
                 joined[follow] = left
                 own, hyphened = max(reader.words.get(whole, 0), reader.words.get(head, 0)), reader.words.get(spelled, 0)
                 if not r[0].isupper() and own >= hyphened and not (hyphened == own == 0 and reader.words.get(left.lower(), 0) and reader.words.get(r.lower(), 0) and reader.misread(whole) is None):
@@ -254,7 +310,8 @@ def analyse(pages: list[_Page], reader: Reader) -> list[tuple[int, int]]:
                             pages[n].noise[k].add("ocr")
                         if not guess.endswith(r.lower()):
                             pages[follow[0]].noise[follow[1]].add("ocr")
-        if any(reader.misread(t) for t in tokens[first:last]):
+        around = ["", *(t.lower() for t in tokens), ""]
+        if any(reader.misread(tokens[i], around[i], around[i + 2]) for i in range(first, last)):
             pages[n].noise[k].add("ocr")
     return body
 
@@ -303,8 +360,7 @@ def _repaired(line: str, reader: Reader) -> str:
     tokens = list(TOKEN.finditer(line))
     out, at = [], 0
     for k, m in enumerate(tokens):
-        low = [t[0].lower() for t in (tokens[k - 1] if k else m, tokens[k + 1] if k + 1 < len(tokens) else m)]
-        new = reader.best(m[0], *low)
+        new = reader.misread(m[0], tokens[k - 1][0].lower() if k else "", tokens[k + 1][0].lower() if k + 1 < len(tokens) else "")
         out += [line[at : m.start()], m[0] if new is None else new.capitalize() if m[0][0].isupper() else new]
         at = m.end()
     return "".join(out) + line[at:]
