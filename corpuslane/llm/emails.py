@@ -6,17 +6,20 @@ lines and header blocks are read too, since the quoted message need not be in th
 then freed of its ending: closing formulas, names, rules, and paragraphs that recur at the end of a sender's, or of
 several senders', messages.
 
-A thread is split into blocks of about BLOCK messages by their order, each compared with its neighbours, and every
-message is also compared with the one that it replies to; so no task holds an unbounded thread.
+Every message is compared with all earlier ones of its thread, and with the one that it replies to. In a thread of
+over 2 * BLOCK messages no automaton holds them all: their runs of LEAST_MATCH words are hashed and joined with the
+earliest message that has each, which covers the same words.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslane.session import cut
@@ -105,11 +108,46 @@ class SuffixAutomaton:
         return out
 
 
+def run_hashes(thread: str, words: list[str]) -> list[int]:
+    """A 63-bit hash of each run of LEAST_MATCH words, for one thread."""
+    prime, base = (1 << 61) - 1, 1_000_003
+    known: dict[str, int] = {}
+    for w in {*words, thread}:
+        known[w] = int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest()) % prime
+    first, out, value = pow(base, LEAST_MATCH, prime), [], 0
+    salt = pow(known[thread], 3, prime)
+    for k, w in enumerate(words):
+        value = (value * base + known[w]) % prime
+        if k >= LEAST_MATCH:
+            value = (value - known[words[k - LEAST_MATCH]] * first) % prime
+        if k >= LEAST_MATCH - 1:
+            out.append((value + salt) % prime)
+    return out
+
+
+class SeenRuns:
+    """The hashed runs of a message that earlier messages have; stands in for the automaton of a large thread."""
+
+    def __init__(self, thread: str, seen: set[int]):
+        self.thread, self.seen = thread, seen
+
+    def covered(self, words: list[str], least: int) -> list[bool]:
+        out = [False] * len(words)
+        for k, h in enumerate(run_hashes(self.thread, words)):
+            if h in self.seen:
+                out[k : k + least] = [True] * least
+        return out
+
+
+def _words(lines: list[str]) -> list[str]:
+    return [w for x in lines for w in WORD.findall(PREFIX.sub("", x).lower())]
+
+
 def _lines(body: str | None) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in (body or "").split("\n")]
 
 
-def own_lines(lines: list[str], automaton: SuffixAutomaton | None) -> list[bool]:
+def own_lines(lines: list[str], automaton: SuffixAutomaton | SeenRuns | None) -> list[bool]:
     """For each line, whether it is neither quoted nor forwarded nor introduces such lines."""
     n = len(lines)
     own = [not QUOTED.match(x) for x in lines]
@@ -219,8 +257,12 @@ def written(lines: list[str], own: list[bool], sender: str | None, recurring: se
     return out
 
 
+def _ends(tail: list[tuple[int, str]]) -> tuple[list[int], list[str]]:
+    return [a for a, _ in tail], [b[:400] for _, b in tail]
+
+
 def _analyse(group: pd.DataFrame) -> pd.DataFrame:
-    """Own lines, and keys of the last own paragraphs, of the target messages of one block of a thread."""
+    """Own lines, and keys of the last own paragraphs, of the target messages of one thread."""
     group = group.sort_values("email_id", kind="stable").reset_index(drop=True)
     group["at"] = group["at"].ffill().fillna(0)
     group = group.sort_values(["at", "email_id"], kind="stable")
@@ -234,16 +276,46 @@ def _analyse(group: pd.DataFrame) -> pd.DataFrame:
             tail = _tail(lines, own)
             done[r.message] = own, tail
             if automaton is not None:
-                automaton.add([w for x in lines for w in WORD.findall(PREFIX.sub("", x).lower())])
+                automaton.add(_words(lines))
             first = True
         else:
             first = False
         if r.target:
             own, tail = done[r.message]
-            out.append((r.email_id, first, [k for k, o in enumerate(own) if o], [a for a, _ in tail], [b[:400] for _, b in tail]))
+            out.append((r.email_id, first, [k for k, o in enumerate(own) if o], *_ends(tail)))
     return pd.DataFrame(out, columns=["email_id", "first", "own", "starts", "keys"])
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """As _analyse, for threads of any size: rows has thread, target, email_id, message, at and body."""
+    filled = F.coalesce(F.last("at", ignorenulls=True).over(Window.partitionBy("thread").orderBy("email_id")), F.lit(0.0))
+    place = F.row_number().over(Window.partitionBy("thread", "message").orderBy("at", "email_id"))
+    light = rows.select("thread", "message", "email_id", "at", "target").withColumn("at", filled).withColumn("place", place)
+    light = cut(light)
+    firsts = light.where("place = 1").select("thread", "message", "email_id", "at").join(rows.select("thread", "message", "email_id", "body").distinct(), ["thread", "message", "email_id"])
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(h, t, m, i, a) for t, m, i, a, b in zip(batch["thread"], batch["message"], batch["email_id"], batch["at"], batch["body"]) for h in set(run_hashes(t, _words(_lines(b))))]
+            yield pd.DataFrame(out, columns=["run", "thread", "message", "email_id", "at"])
+
+    found = firsts.select("thread", "message", "email_id", "at", "body").mapInPandas(runs, "run bigint, thread string, message string, email_id bigint, at double")
+    earliest = found.groupBy("run").agg(F.min(F.struct("at", "email_id", "message")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    seen = found.join(earliest, "run").where("message <> first.message").groupBy("thread", "message").agg(F.collect_list("run").alias("seen"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t, m, b, s in zip(batch["thread"], batch["message"], batch["body"], batch["seen"]):
+                lines = _lines(b)
+                own = own_lines(lines, SeenRuns(t, set(s) if s is not None else set()))
+                out.append((t, m, [k for k, o in enumerate(own) if o], *_ends(_tail(lines, own))))
+            yield pd.DataFrame(out, columns=["thread", "message", "own", "starts", "keys"])
+
+    read = firsts.join(seen, ["thread", "message"], "left").select("thread", "message", "body", "seen").mapInPandas(run, "thread string, message string, own array<int>, starts array<int>, keys array<string>")
+    return light.where("target").join(read, ["thread", "message"]).select("email_id", (F.col("place") == 1).alias("first"), "own", "starts", "keys")
+
+
 def new_lines(emails: DataFrame, least_messages: int = 3, least_of_sender: int = 2) -> DataFrame:
     """(email_id, line_no, line): the non-blank lines of body_text that the sender newly wrote; line_no counts from 1.
 
@@ -263,17 +335,16 @@ def new_lines(emails: DataFrame, least_messages: int = 3, least_of_sender: int =
         F.unix_micros("date").cast("double").alias("at"),
         F.coalesce("body_text", F.lit("")).alias("body"),
     )
-    large = rows.groupBy("thread").agg(F.count("*").alias("n"), F.min("email_id").alias("low"), F.max("email_id").alias("high")).where(f"n > {2 * BLOCK}")
-    block = F.coalesce(F.floor((F.col("email_id") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.ceil(F.col("n") / BLOCK)), F.lit(0))
-    rows = rows.join(large, "thread", "left").withColumn("block", block).withColumn("split", F.col("n").isNotNull()).drop("n", "low", "high")
-    fields = ["email_id", "message", "sender", "at", "body"]
-    here = rows.select("thread", "block", F.lit(True).alias("target"), *fields)
-    beside = rows.where("split").select("thread", F.explode(F.array(F.col("block") - 1, F.col("block") + 1)).alias("block"), F.lit(False).alias("target"), *fields)
-    parents = rows.select(F.col("message").alias("parent"), F.struct("thread", "block").alias("from"), *fields)
-    replies = rows.where("parent is not null").select("parent", "thread", "block").distinct()
-    asked = parents.join(replies, "parent").where(F.col("from") != F.struct("thread", "block")).select("thread", "block", F.lit(False).alias("target"), *fields)
+    large = rows.groupBy("thread").agg(F.count("*").alias("n")).where(f"n > {2 * BLOCK}").select("thread", F.lit(True).alias("large"))
+    fields = ["email_id", "message", "at", "body"]
+    here = rows.select("thread", F.lit(True).alias("target"), *fields)
+    parents = rows.select(F.col("message").alias("parent"), F.col("thread").alias("from"), *fields)
+    replies = rows.where("parent is not null").select("parent", "thread").distinct()
+    asked = parents.join(replies, "parent").where("from <> thread").select("thread", F.lit(False).alias("target"), *fields)
+    every = here.unionByName(asked).join(large, "thread", "left")
     schema = "email_id bigint, first boolean, own array<int>, starts array<int>, keys array<string>"
-    analysed = cut(here.unionByName(beside).unionByName(asked).groupBy("thread", "block").applyInPandas(_analyse, schema))
+    small = every.where("large is null").groupBy("thread").applyInPandas(_analyse, schema)
+    analysed = cut(small.unionByName(_large(every.where("large"))))
     senders = rows.select("email_id", "sender", "body")
     tails = analysed.join(senders.select("email_id", "sender"), "email_id").select("email_id", "first", "sender", F.explode(F.arrays_zip("starts", "keys")).alias("p")).select("email_id", "first", "sender", "p.starts", "p.keys").where("keys <> ''")
     by_sender = tails.where("first").groupBy("keys", "sender").agg(F.count("*").alias("n"))
