@@ -6,7 +6,8 @@ tokens, are not derived: a line is content if it is in a block of text (heading,
 nested in furniture (navigation, asides, footers, and generic blocks), and is no recurring line of template. Pages without their HTML are read by lines: against the furniture of
 their own site, and against lines that recur as furniture on several sites.
 
-A site's pages are compared in blocks of about PAGES, so that no task holds an unbounded site.
+Sites of over PAGES pages are not held by a task: their tokens, recurring lines and furniture are aggregated over all
+pages of the site by shuffles and joined back to the pages, with the same results.
 """
 
 from __future__ import annotations
@@ -200,28 +201,80 @@ def _by_lines(text: str, title: str | None, furniture: set[str], recurring: set[
     return out
 
 
+def _main(r, lines: list[Line] | None, dropped: set[tuple], furniture: set[str]) -> list[tuple[int, int]]:
+    """(url_id, line number) of a page's main body, given its site's lines of template and of furniture."""
+    matched, lost = _aligned(r.text or "", lines) if lines else ([], 1)
+    if lines and lost <= 0.2 * (lost + len(matched)):
+        texts = text_lines(lines)
+        return [(r.url_id, k) for k, at in matched if texts[at] and lines[at][:2] not in dropped]
+    return [(r.url_id, k) for k in _by_lines(r.text or "", r.title, furniture, *(set(x) if x is not None else set() for x in (r.recurring, r.leads)))]
+
+
 def _analyse(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("url_id", ascending=False, kind="stable")  # of pages read twice, the first counts
     parsed = {i: page_lines(h) for i, h in zip(group["url_id"], group["html"]) if h}
     one_each = {u: parsed[i] for i, u in zip(group["url_id"], group["url"]) if i in parsed}
     fixed = template(one_each)
     often = Counter(x for lines in one_each.values() for x in {(path, text) for path, text, *_ in lines})
     enough = max(LEAST_PAGES, LEAST_SHARE * len(one_each))
-    texts = {i: text_lines(lines) for i, lines in parsed.items()}
-    furniture = {line[1].strip() for i, lines in parsed.items() for line, x in zip(lines, texts[i]) if not x}
-    out = []
-    for r in group.itertuples():
-        text = r.text or ""
-        lines = parsed.get(r.url_id)
-        matched, lost = _aligned(text, lines) if lines else ([], 1)
-        if lines and lost <= 0.2 * (lost + len(matched)):
-            for k, at in matched:
-                path, x, *_ = lines[at]
-                words = WORD.findall(x)
-                if texts[r.url_id][at] and not (often[path, x] >= enough and all((path, w) in fixed for w in words)):
-                    out.append((r.url_id, k))
-        else:
-            out += [(r.url_id, k) for k in _by_lines(text, r.title, furniture, *(set(x) if x is not None else set() for x in (r.recurring, r.leads)))]
-    return pd.DataFrame(out, columns=["url_id", "line_no"])
+    dropped = {(path, x) for (path, x), n in often.items() if n >= enough and all((path, w) in fixed for w in WORD.findall(x))}
+    furniture = {line[1].strip() for lines in parsed.values() for line, x in zip(lines, text_lines(lines)) if not x}
+    return pd.DataFrame([x for r in group.itertuples() for x in _main(r, parsed.get(r.url_id), dropped, furniture)], columns=["url_id", "line_no"])
+
+
+def _analyse_large(rows: DataFrame) -> DataFrame:
+    """As _analyse for each host, over pages of sites of any size."""
+    coded = rows.where("html is not null and html <> ''")
+    ones = coded.groupBy("host", "url").agg(F.min("url_id").alias("url_id")).select("url_id", F.lit(True).alias("one"))
+    coded = coded.select("host", "url", "url_id", "html").join(ones, "url_id", "left")
+
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for host, url, html, one in zip(batch["host"], batch["url"], batch["html"], batch["one"]):
+                lines = page_lines(html)
+                out += [(host, url, "furniture", "", x, 1) for x in {line[1].strip() for line, text in zip(lines, text_lines(lines)) if not text}]
+                if one is True:
+                    out += [(host, url, "line", path, x, 1) for path, x in {("/".join(line[0]), line[1]) for line in lines}]
+                    out += [(host, url, "token", path, w, n) for (path, w), n in Counter(("/".join(line[0]), w) for line in lines for w in WORD.findall(line[1])).items()]
+            yield pd.DataFrame(out, columns=["host", "url", "kind", "path", "text", "n"])
+
+    found = coded.mapInPandas(facts, "host string, url string, kind string, path string, text string, n int")
+    sites = coded.where("one").groupBy("host").agg(F.count_distinct("url").alias("urls"))
+    same = F.struct(F.bit_xor(F.xxhash64("url")), F.bit_xor(F.hash("url")))  # the pages that have it
+    counted = found.where("kind <> 'furniture'").groupBy("host", "kind", "path", "text").agg(F.count("*").alias("pages"), F.min("n").alias("low"), F.max("n").alias("high"), same.alias("same"))
+    often = cut(counted.join(sites, "host").where((F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), LEAST_SHARE * F.col("urls"))) & (F.col("low") == F.col("high"))))
+    vector = ["host", "pages", "low", "same"]
+    classes = often.where("kind = 'token'").groupBy(*vector).agg(F.count("*").alias("tokens")).where(f"tokens >= {LEAST_TOKENS}").drop("tokens")
+    fixed = often.where("kind = 'token'").join(classes, vector).groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("fixed"))
+    again = often.where("kind = 'line'").groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("lines"))  # both at most a page's size / LEAST_SHARE
+
+    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for host, tokens, lines in zip(batch["host"], batch["fixed"], batch["lines"]):
+                tokens = {(x["path"], x["text"]) for x in tokens} if tokens is not None else set()
+                out.append((host, [f"{x['path']}\n{x['text']}" for x in lines if all((x["path"], w) in tokens for w in WORD.findall(x["text"]))]))
+            yield pd.DataFrame(out, columns=["host", "dropped"])
+
+    dropped = again.join(fixed, "host", "left").mapInPandas(drop, "host string, dropped array<string>")
+    furniture = found.where("kind = 'furniture'").select("host", F.col("text").alias("x")).distinct()
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(i, h, x) for i, h, t in zip(batch["url_id"], batch["host"], batch["text"]) for x in {x.strip() for x in t.split("\n")} if x], columns=["url_id", "host", "x"])
+
+    hits = rows.where("text is not null").select("url_id", "host", "text").mapInPandas(split, "url_id bigint, host string, x string").join(furniture, ["host", "x"]).groupBy("url_id").agg(F.collect_set("x").alias("furniture"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                gone = {(tuple(p.split("/")) if p else (), x) for p, _, x in (y.partition("\n") for y in (r.dropped if r.dropped is not None else ()))}
+                out += _main(r, page_lines(r.html) if r.html else None, gone, set(r.furniture) if r.furniture is not None else set())
+            yield pd.DataFrame(out, columns=["url_id", "line_no"])
+
+    return rows.join(dropped, "host", "left").join(hits, "url_id", "left").mapInPandas(run, "url_id bigint, line_no int")
 
 
 def main_lines(pages: DataFrame, least_hosts: int = 3) -> DataFrame:
@@ -257,10 +310,10 @@ def main_lines(pages: DataFrame, least_hosts: int = 3) -> DataFrame:
     bare = rows.where("(html is null or html = '') and text is not null").select("url_id", "host", "text").mapInArrow(lines, "url_id bigint, line_no int, parts int, key string")
     hits = bare.join(often, "key").groupBy("url_id", "line_no", "parts").agg(F.count("*").alias("n"), F.min("lead").alias("lead")).where("n >= parts")
     recurring = hits.groupBy("url_id").agg(F.collect_set("line_no").alias("recurring"), F.collect_set(F.when(F.col("lead"), F.col("line_no"))).alias("leads"))
-    blocks = rows.groupBy("host").agg(F.ceil(F.count("*") / PAGES).alias("blocks")).where("blocks > 1")
-    split = rows.join(blocks, "host", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("url"), F.col("blocks")), F.lit(0)))
-    joined = split.join(recurring, "url_id", "left").select("host", "block", "url_id", "url", "title", "text", "html", "recurring", "leads")
-    return joined.groupBy("host", "block").applyInPandas(_analyse, "url_id bigint, line_no int")
+    large = rows.groupBy("host").agg(F.count("*").alias("n")).where(f"n > {PAGES}").select("host", F.lit(True).alias("large"))
+    joined = rows.join(large, "host", "left").join(recurring, "url_id", "left").select("large", "host", "url_id", "url", "title", "text", "html", "recurring", "leads")
+    small = joined.where("large is null").drop("large").groupBy("host").applyInPandas(_analyse, "url_id bigint, line_no int")
+    return small.unionByName(_analyse_large(joined.where("large").drop("large")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
-from corpuslane.llm import emails, scans
+from corpuslane.llm import emails, page_content, scans
 
 MAIL = "email_id long, message_id string, subject string, from_address string, to_addresses array<string>, headers map<string,string>, body_text string"
 
@@ -31,3 +31,17 @@ def test_large_thread_sees_all_earlier_mails(spark, monkeypatch):
     assert (3600, 1) in whole and not {(3600, 3), (3600, 4), (3721, 1)} & set(whole)
     monkeypatch.setattr(emails, "BLOCK", 10)
     assert rows(emails.new_lines(table).select("email_id", "line_no")) == whole
+
+
+# p7
+def test_large_site_is_read_as_a_whole(spark, monkeypatch):
+    def html(k):
+        return f"<html><body><div class='t'>Teaser number {k}</div><div><h1>T{k}</h1><p>Sentence {k} of it.</p><p>Read all our other fine pages</p></div><div>Share this page</div></body></html>"
+
+    items = [(k, f"https://www.s.example/{k}", f"T{k}", f"Teaser number {k}\nT{k}\nSentence {k} of it.\nRead all our other fine pages\nShare this page", html(k)) for k in range(30)]
+    items += [(50, "https://www.s.example/5", *items[5][2:]), (90, "https://www.s.example/90", "T90", "\n".join(["T90", "Sentence 90 of it.", *(f"Teaser number {k}" for k in range(30))]), None)]
+    table = spark.createDataFrame(items, "url_id long, url string, title string, text string, html string")
+    whole = rows(page_content.main_lines(table))
+    assert whole == sorted([(k, n) for k in [*range(30), 50] for n in (2, 3)] + [(90, 1), (90, 2)])
+    monkeypatch.setattr(page_content, "PAGES", 3)
+    assert rows(page_content.main_lines(table)) == whole
