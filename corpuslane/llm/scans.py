@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 #: Words (and pairs of words) rarer than this share of all words are no vocabulary; so it has at most 1 / SHARE entries.
 SHARE, LEAST_COUNT = 2e-6, 3
-#: A file's pages are read in blocks of so many, with one page of overlap.
-PAGES = 64
 #: How often a word is read as a given other, by one confusion of the tables below, by a sign for some letter, and by
 #: any other single edit (fixed values); edits multiply.
 BY_CONFUSION, BY_SIGN, BY_EDIT = 1 / 25, 1 / 50, 1 / 200
@@ -220,6 +218,13 @@ def furniture(pages: list[tuple[int | None, list[str]]]) -> list[dict[int, str]]
             for key in {key for k in zone[side] if len(key := _letters(lines[k])) >= 4 and not page_number(lines[k])}:
                 keys[side][key] += 1
     repeated = [[k for k, n in keys[side].items() if n >= 2] for side in (0, 1)]
+    similar: dict[tuple[int, str], bool] = {}
+
+    def recurs(side: int, key: str) -> bool:
+        if (side, key) not in similar:
+            similar[side, key] = keys[side][key] >= 2 or any(abs(len(r) - len(key)) <= 3 and SequenceMatcher(None, key, r).ratio() >= 0.85 for r in repeated[side])
+        return similar[side, key]
+
     out = []
     for (number, lines), zone in zip(pages, zones):
         found: dict[int, str] = {}
@@ -233,7 +238,7 @@ def furniture(pages: list[tuple[int | None, list[str]]]) -> list[dict[int, str]]
                 if m and (steady and number is not None and m[0] - number == offset or place == 0 and (m[1] and any(c.isdigit() for c in x) or not steady and len(pages) < 3 and x.isdigit())):
                     found[k] = "pageno"
                     continue
-                same = any(key == r or abs(len(r) - len(key)) <= 3 and SequenceMatcher(None, key, r).ratio() >= 0.85 for r in repeated[side]) if len(key) >= 4 else False
+                same = len(key) >= 4 and recurs(side, key)
                 if (same or _is_title(x, width)) and len(filled) > 1 and not re.search(r"[.!?]$", x) and not re.match(r"\d+\.\d+\s", x) and not re.match(r"[a-zß-ÿ]", x):
                     found[k] = "header"
                     continue
@@ -266,8 +271,8 @@ def _counts(pages: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], int
 
 
 class _Page:
-    def __init__(self, page_id: int, number: int | None, text: str | None, target: bool):
-        self.id, self.number, self.target = page_id, number, target
+    def __init__(self, page_id: int, number: int | None, text: str | None):
+        self.id, self.number = page_id, number
         self.lines = [x[:-1] if x.endswith("\r") else x for x in (text or "").split("\n")]
         self.noise: dict[int, set[str]] = defaultdict(set)
 
@@ -318,15 +323,11 @@ def analyse(pages: list[_Page], reader: Reader) -> list[tuple[int, int]]:
 
 def _pages_of(group: pd.DataFrame) -> list[_Page]:
     group = group.sort_values("page_id")
-    return [_Page(int(i), None if pd.isna(n) else int(n), t, bool(x)) for i, n, t, x in zip(group["page_id"], group["page_number"], group["text"], group["target"])]
+    return [_Page(int(i), None if pd.isna(n) else int(n), t) for i, n, t in zip(group["page_id"], group["page_number"], group["text"])]
 
 
-def _blocks(pages: DataFrame) -> DataFrame:
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("doc_path", F.concat(F.lit("page:"), F.col("page_id").cast("string"))).alias("doc_path"), F.col("page_number").cast("int").alias("page_number"), "text")
-    block = F.floor(F.coalesce(F.col("page_number") - 1, F.lit(0)) / PAGES)
-    here = rows.withColumn("block", block).withColumn("target", F.lit(True))
-    after = here.where(f"page_number is not null and (page_number - 1) % {PAGES} = 0 and block > 0").withColumn("block", F.col("block") - 1).withColumn("target", F.lit(False))
-    return here.unionByName(after)
+def _files(pages: DataFrame) -> DataFrame:
+    return pages.where("page_id is not null").select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("doc_path", F.concat(F.lit("page:"), F.col("page_id").cast("string"))).alias("doc_path"), F.col("page_number").cast("int").alias("page_number"), "text")
 
 
 def noise(pages: DataFrame) -> DataFrame:
@@ -340,9 +341,9 @@ def noise(pages: DataFrame) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         all_pages = _pages_of(group)
         analyse(all_pages, _reader(reader_of))
-        return pd.DataFrame([(p.id, k + 1, kind) for p in all_pages if p.target for k, kinds in sorted(p.noise.items()) for kind in sorted(kinds)], columns=["page_id", "line_no", "noise"])
+        return pd.DataFrame([(p.id, k + 1, kind) for p in all_pages for k, kinds in sorted(p.noise.items()) for kind in sorted(kinds)], columns=["page_id", "line_no", "noise"])
 
-    return _blocks(pages).groupBy("doc_path", "block").applyInPandas(run, "page_id bigint, line_no int, noise string")
+    return _files(pages).groupBy("doc_path").applyInPandas(run, "page_id bigint, line_no int, noise string")
 
 
 _readers: dict[int, tuple] = {}
@@ -371,7 +372,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
 
     Cut words are joined, misread words replaced, headers, page numbers and stray marks left out. A paragraph ends at
     a blank line within a page; at a page's end it goes on unless a sentence ended there. Null and blank pages are
-    passed by.
+    passed by. A file is read as a whole, so its block is always 0.
     """
     reader_of = _counts(pages)
 
@@ -382,7 +383,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
         previous: tuple[int, int] | None = None
         for n, k in body:
             page = all_pages[n]
-            if page.noise.get(k, set()) & {"header", "pageno"} or not page.target:
+            if page.noise.get(k, set()) & {"header", "pageno"}:
                 continue
             line = page.lines[k].strip()
             new = previous is None or (previous[0] == n and any(not x.strip() for x in page.lines[previous[1] + 1 : k])) or previous[0] != n and re.search(r"[.!?…”]$", out[-1][1])
@@ -393,7 +394,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
             else:
                 out[-1][1] += ("" if out[-1][1].endswith("-") else " ") + line
             previous = n, k
-        key = group["doc_path"].iloc[0], int(group["block"].iloc[0])
-        return pd.DataFrame([(*key, i, p, _repaired(t, reader)) for i, (p, t) in enumerate(out)], columns=["doc_path", "block", "paragraph", "first_page_id", "text"])
+        path = group["doc_path"].iloc[0]
+        return pd.DataFrame([(path, 0, i, p, _repaired(t, reader)) for i, (p, t) in enumerate(out)], columns=["doc_path", "block", "paragraph", "first_page_id", "text"])
 
-    return _blocks(pages).groupBy("doc_path", "block").applyInPandas(run, "doc_path string, block bigint, paragraph int, first_page_id bigint, text string")
+    return _files(pages).groupBy("doc_path").applyInPandas(run, "doc_path string, block bigint, paragraph int, first_page_id bigint, text string")

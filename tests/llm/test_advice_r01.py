@@ -21,6 +21,16 @@ def test_rare_words_and_lost_characters_are_candidates():
     assert reader.misread("Libary") is None and reader.misread("keeper") is None
 
 
+def test_long_file_is_read_as_a_whole(spark):
+    body = ["every careful reader compares the second printed volume before", "the archive closes for the winter and the keeper leaves again"]
+    page = lambda n, first, last: "\n".join(["RUNNING TITLE HERE", *first, *body, *last, str(n + 7), "Running foot of all"])
+    items = [(n, "a.pdf", n, page(n, ["pares nothing at all"] if n == 65 else [], ["and one more careful com-"] if n == 64 else [])) for n in range(1, 66)]
+    table = spark.createDataFrame(items, "page_id long, doc_path string, page_number int, text string")
+    assert rows(scans.noise(table).where("page_id = 65")) == [(65, 1, "header"), (65, 5, "pageno"), (65, 6, "header")]
+    (text,) = [r.text for r in scans.paragraphs(table).collect()]
+    assert "and one more careful compares nothing at all" in text
+
+
 # p1
 def test_large_thread_sees_all_earlier_mails(spark, monkeypatch):
     texts = [" ".join(random.choices([f"word{k}" for k in range(300)], k=25)) + "." for _ in range(61)]
