@@ -38,9 +38,9 @@ DECLARATIONS = {
     "rust": [re.compile(r"^[ \t]*(?P<decl>(?:(?:pub(?:\s*\([^)]*\))?|default|const|async|unsafe|extern(?:\s+\"[^\"]*\"|\s+ *)?)\s+)*fn\s+(?P<name>\w+)\s*(?:<[^({]*>)?\s*(?P<args>" + _PARENS + r")[^{;]*(?P<end>[{;]))", re.M)],
     "java": [re.compile(r"^[ \t]*(?:@[\w.]+(?:\([^()]*\))?[ \t]+)*(?P<decl>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>(]+>\s*)?(?P<type>[\w.]+(?:\s*<[^(){};=]*>)?(?:\s*\[\s*\])*\s+)?(?P<name>\w+)\s*(?P<args>" + _PARENS + r")\s*(?:throws\s+[\w., \n]+)?(?P<end>[{;]))", re.M)],
     "javascript": [
-        re.compile(r"^[ \t]*(?P<decl>(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)\s*(?P<args>" + _PARENS + r")\s*(?P<end>\{))", re.M),
-        re.compile(r"^[ \t]*(?P<decl>(?:export\s+)?(?:(?:const|let|var|static|readonly)\s+)*(?P<name>[\w$.#]+)\s*=\s*(?:async\s*)?(?:function\s*\*?\s*\w*\s*(?P<args>" + _PARENS + r")|(?P<args2>" + _PARENS + r"|\w+)\s*(?P<end>=>)))", re.M),
-        re.compile(r"^[ \t]*(?P<decl>(?:(?:static|async|get|set)\s+)*[*#]?\s*(?P<name>[\w$]+)\s*(?P<args>" + _PARENS + r")\s*(?P<end>\{))", re.M),
+        re.compile(r"^[ \t]*(?P<decl>(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<name>[\w$]+)[ \t]*(?P<args>" + _PARENS + r")\s*(?P<end>\{))", re.M),
+        re.compile(r"^[ \t]*(?P<decl>(?:export[ \t]+)?(?:(?:const|let|var|static|readonly)[ \t]+)*(?P<name>[\w$.#]+)\s*=\s*(?:async\s*)?(?:function\s*\*?\s*\w*\s*(?P<args>" + _PARENS + r")|(?P<args2>" + _PARENS + r"|\w+)\s*(?P<end>=>)))", re.M),
+        re.compile(r"^[ \t]*(?P<decl>(?:(?:static|async|get|set)[ \t]+)*(?:\*[ \t]*)?(?P<name>#?[\w$]+)[ \t]*(?P<args>" + _PARENS + r")\s*(?P<end>\{))", re.M),
         re.compile(r"^[ \t]*(?P<decl>[\w$.]*(?P<name>[\w$]+)\s*:\s*(?:async\s*)?(?:function\s*\*?\s*\w*\s*(?P<args>" + _PARENS + r")|(?P<args2>" + _PARENS + r")\s*(?P<end>=>)))", re.M),
     ],
 }
