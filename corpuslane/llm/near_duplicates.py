@@ -1,172 +1,315 @@
 """Near-duplicate texts: universal hash minima with banding, exact verification, and connected components.
 
 Texts are keyed by a digest of their word sequence, so that exact copies are one node throughout; a task emits the
-bands of a digest once, whatever number of copies it reads. Candidate pairs are digests that share a band; they are
-verified on the whole shingle sets of both texts. Row pairs are only formed by `pairs`, whose result they are.
+bands of a digest once, whatever number of copies it reads. Bands travel in packed blocks, one for each partition of
+the band space and batch, and meet in one task per partition, which holds a bounded number of them: buckets of more
+than `HOT` texts are taken out as they are found, in the batch already if they are that hot, and only their members are
+passed on. Digests that share a band are candidates; members of hot buckets are candidates if they share one of
+their rarest runs, which every similar pair does (prefix filter), so that no bucket is ever paired with itself. All
+candidates are verified on whole shingle sets. Row pairs are only formed by `pairs`, whose result they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslane.llm.words import MULTIPLIERS, WORD, WordValues, mixed, windows
-from corpuslane.operators.components import components
+from corpuslane.llm.components import components
+from corpuslane.llm.words import MULTIPLIERS, WordValues, mixed, windows
 from corpuslane.session import cut
 
 #: 60 bands of 4 minima find a pair of similarity 0.5 with probability 0.979, 0.55 with 0.997 and 0.6 with 0.9998.
 BANDS, ROWS = 60, 4
-#: Bits of a band's value: chance meetings, which verification drops, are rare enough, and fewer bytes are shuffled.
-BAND_BITS = 40
+#: Texts of a bucket beyond which its pairs are looked for by their rarest runs.
+HOT = 48
+#: Bands that a task of the exchange meets on average, and texts that are packed together (both bound its memory).
+BANDS_A_TASK, TEXTS_A_BLOCK = 3_000_000, 20_000
+#: Rows (16 bytes each) up to which a list of row numbers is broadcast to pick their texts; beyond, the join shuffles.
+MOST_BROADCAST = 500_000
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _A = _RANDOM.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _BAND = mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(1))
-#: Candidates up to this number (16 bytes each) are broadcast to filter the texts; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+_ASCII = {k: k if chr(k).isalnum() else 32 for k in range(128)}
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return low.translate(_ASCII).split() if low.isascii() else _WORD.findall(low)
 
 
 def _digest(words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minima of a set of 32-bit values under all hash functions."""
-    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+def minima(shingles: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The minima under all hash functions (rows) of the 32-bit values of each text (columns); runs are their numbers."""
+    out = np.full((BANDS * ROWS, len(runs)), 2**32 - 1, np.uint32)
+    some = np.flatnonzero(runs)
+    starts = (np.cumsum(runs) - runs)[some]
     for k in range(0, len(shingles), 4096):
-        np.minimum(out, (shingles[k : k + 4096, None] * _A + _B).min(axis=0), out=out)
+        values = shingles[None, k : k + 4096] * _A[:, None]
+        values += _B[:, None]
+        low, high = np.searchsorted(starts, k, "right") - 1, np.searchsorted(starts, k + values.shape[1])
+        least = np.minimum.reduceat(values, np.maximum(starts[low:high] - k, 0), axis=1)
+        out[:, some[low:high]] = np.minimum(out[:, some[low:high]], least)
     return out
 
 
-def _bands(rows: DataFrame, size: int) -> DataFrame:
-    """(h, digest, row_id): a row per band of each text, and one or two under a value of the digest to tell copies.
+def _pack(h: np.ndarray, digests: np.ndarray) -> bytes:
+    """Sorted 32-bit values as planes of bytes of their differences, which compress, and the digests beside them."""
+    order = np.argsort(h)
+    steps = np.diff(h[order], prepend=np.uint32(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes() + digests[order].tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    steps = np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T.copy().view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(data, np.int64, offset=4 * n)
 
-    row_id is null in these; a further row for each row of the table has it, under a value of its own.
-    """
+
+_BAND_BLOCK, _HOT_BLOCK, _ROW_BLOCK = 0, 1, 2
+
+
+def _blocks(rows: DataFrame, size: int, parts: int) -> DataFrame:
+    """(part, kind, data): packed bands of the texts by partition, members of buckets hot within a block, and rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, seen = WordValues(), {}
+        value, seen = WordValues(), set()
+        flat, lengths, digests, all_digests, ids = [], [], [], [], []
+
+        def flushed() -> pa.RecordBatch:
+            out = []
+            if lengths:
+                shingles, runs = windows(np.array(flat, np.uint64), np.array(lengths), size)
+                signature = minima((shingles >> np.uint64(32)).astype(np.uint32), runs).astype(np.uint64).reshape(BANDS, ROWS, len(runs))
+                keys = mixed((signature * MULTIPLIERS[:ROWS, None]).sum(axis=1, dtype=np.uint64) + _BAND[:, None]).ravel()
+                of = np.tile(np.array(digests, np.int64), BANDS)
+                part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(keys)
+                keys, of, part = keys[order], of[order], part[order]
+                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                sizes = np.diff(starts, append=len(keys))
+                place, hot = np.arange(len(keys)) - np.repeat(starts, sizes), np.repeat(sizes > HOT, sizes)
+                members = np.unique(of[hot])
+                sent = place <= HOT  # so many tell the exchange's task that the bucket is hot
+                order = np.argsort(part[sent], kind="stable")
+                h, d, part = keys[sent].astype(np.uint32)[order], of[sent][order], part[sent][order]
+                ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+                out += [(int(part[low]), _BAND_BLOCK, _pack(h[low:high], d[low:high])) for low, high in zip([0, *ends[:-1].tolist()], ends.tolist())] if len(part) else []
+                if len(members):
+                    out.append((int(members[0]) % parts, _HOT_BLOCK, members.tobytes()))
+            if ids:
+                each = np.array(all_digests, np.int64)
+                rows_of = np.array(ids, np.int64)
+                out.append((int(each[0]) % parts, _ROW_BLOCK, each.tobytes() + rows_of.tobytes()))
+            for x in (flat, lengths, digests, all_digests, ids):
+                x.clear()
+            c = list(zip(*out)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary())], ["part", "kind", "data"])
+
         for batch in batches:
-            flat, lengths, digests, again, all_digests, ids = [], [], [], [], [], []
-            for text, row_id in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
+            for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = _words(text)
                 if len(words) < size:
                     continue
                 d = _digest(words)
                 all_digests.append(d)
                 ids.append(row_id)
-                if d in seen:
-                    if not seen[d]:
-                        seen[d] = True
-                        again.append(d)
-                    continue
-                seen[d] = False
-                flat += value(words)
-                lengths.append(len(words))
-                digests.append(d)
-            own = np.array(digests + again, np.int64)
-            each = np.array(all_digests, np.int64)
-            h, of = [mixed(own.view(np.uint64) ^ MULTIPLIERS[-1])], [own]
-            if lengths:
-                shingles, runs = windows(np.array(flat, np.uint64), np.array(lengths), size)
-                low = (shingles >> np.uint64(32)).astype(np.uint32)
-                ends = np.cumsum(runs)
-                signature = np.stack([minima(low[e - n : e]) for n, e in zip(runs.tolist(), ends.tolist())]).astype(np.uint64).reshape(len(runs), BANDS, ROWS)
-                h.append(mixed((signature * MULTIPLIERS[:ROWS]).sum(axis=2, dtype=np.uint64) + _BAND).ravel())
-                of.append(np.repeat(np.array(digests, np.int64), BANDS))
-            # negative values: one for each row of the table, spread over all partitions
-            rest = -1 - (np.array(ids, np.int64) & np.int64(2**62 - 1))
-            bands = (np.concatenate(h) >> np.uint64(64 - BAND_BITS)).astype(np.int64)
-            of = np.concatenate([*of, each])
-            row_ids = pa.concat_arrays([pa.nulls(len(bands), pa.int64()), pa.array(ids, pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((bands, rest))), pa.array(of), row_ids], ["h", "digest", "row_id"])
-
-    return rows.where("row_id is not null").select("row_id", "text").mapInArrow(run, "h bigint, digest bigint, row_id bigint")
-
-
-def _candidates(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b), a <= b: digests that share a band, and (d, d) for texts with copies; and (digest, row_id) of all rows."""
-    bands = _bands(rows, size).where("h is not null and digest is not null").repartition("h")  # so that one exchange serves all branches
-    # all branches use all columns, and conditions are on aggregates alone: else pruning and pushed-down filters would
-    # make exchanges that differ, and the bands would be computed and written for each of them
-    buckets = bands.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"), F.max("row_id").alias("row_id"))
-    more = buckets.where("row_id is null and n > 2 and a < b").select("h")
-    larger = bands.join(more.hint("shuffle_hash"), "h").select("h", F.lit(0).cast("bigint").alias("n"), F.col("digest").alias("a"), F.col("digest").alias("b"), "row_id").distinct()
-    found = cut(buckets.where("row_id is not null or n = 2 or n > 2 and a = b").unionByName(larger))  # one job, in which the bands are exchanged once
-    x, y = (found.where("row_id is null and n = 0").select("h", k) for k in "ab")
-    pairs = found.where("row_id is null and n > 0").select("a", "b").unionByName(x.join(y, "h").where("a <= b").select("a", "b")).distinct()
-    return pairs, found.where("row_id is not null").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("digest"), "row_id")
+                if d not in seen:
+                    seen.add(d)
+                    flat += value(words)
+                    lengths.append(len(words))
+                    digests.append(d)
+                if len(ids) >= TEXTS_A_BLOCK or len(flat) >= 100 * TEXTS_A_BLOCK:
+                    yield flushed()
+        yield flushed()
+
+    return rows.where("row_id is not null").select("row_id", "text").mapInArrow(run, "part int, kind int, data binary")
+
+
+def _runs(keys: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bands sorted and without repetitions, and where their buckets start and how many they hold."""
+    order = np.lexsort((digests, keys))
+    keys, digests = keys[order], digests[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (digests[1:] != digests[:-1])
+    keys, digests = keys[new], digests[new]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys, digests, starts, np.diff(starts, append=len(keys))
+
+
+def _meet(blocks: DataFrame, most: int = 3 * BANDS_A_TASK) -> DataFrame:
+    """(kind, a, b) of one partition's blocks: candidate pairs (0), members of hot buckets (1: a), rows (2: digest, row).
+
+    Beyond `most` bands, buckets that are hot by then are emptied; a band that comes later for one goes on at once.
+    """
+    names, types = ["kind", "a", "b"], [pa.int32(), pa.int64(), pa.int64()]
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(a if b is None else b)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, digests, held, hot, limit = [], [], 0, np.zeros(0, np.uint64), most
+        for batch in batches:
+            for part, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == _ROW_BLOCK:
+                    yield rows(2, np.frombuffer(data, np.int64, len(data) // 16), np.frombuffer(data, np.int64, offset=len(data) // 2))
+                elif kind == _HOT_BLOCK:
+                    yield rows(1, np.frombuffer(data, np.int64))
+                else:
+                    h, d = _unpack(data)
+                    h = h | np.uint64(part << 32)
+                    if len(hot):
+                        gone = np.isin(h, hot)
+                        yield rows(1, np.unique(d[gone]))
+                        h, d = h[~gone], d[~gone]
+                    keys.append(h)
+                    digests.append(d)
+                    held += len(h)
+                    if held > limit:
+                        k, d, starts, sizes = _runs(np.concatenate(keys), np.concatenate(digests))
+                        full = sizes > HOT
+                        hot = np.union1d(hot, k[starts[full]])
+                        gone = np.repeat(full, sizes)
+                        yield rows(1, np.unique(d[gone]))
+                        keys, digests, held = [k[~gone]], [d[~gone]], int((~gone).sum())
+                        limit = max(most, 2 * held)
+        if not keys:
+            yield pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
+            return
+        k, d, starts, sizes = _runs(np.concatenate(keys), np.concatenate(digests))
+        yield rows(1, np.unique(d[np.repeat(sizes > HOT, sizes)]))
+        found = []
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= HOT)]).tolist():
+            at = starts[sizes == n]
+            i, j = np.triu_indices(n, 1)
+            found.append(np.stack((d[(at[:, None] + i).ravel()], d[(at[:, None] + j).ravel()])))
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield rows(0, pairs[0], pairs[1])
+
+    return blocks.mapInArrow(run, "kind int, a bigint, b bigint")
+
+
+class _Sets:
+    """Shingle sets by digest, as long as a bounded number of runs is held."""
+
+    def __init__(self, size: int, most: int = 2_000_000):
+        self.size, self.most, self.held, self.known = size, most, 0, {}
+
+    def __call__(self, digest: int, text: str) -> frozenset:
+        if digest not in self.known:
+            words = _words(text)
+            if self.held > self.most:
+                self.known.clear()
+                self.held = 0
+            self.known[digest] = frozenset(zip(*(words[i:] for i in range(self.size))))
+            self.held += len(words)
+        return self.known[digest]
 
 
 def _verified(pairs: DataFrame, size: int, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(size)
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             out = []
-            for k in range(len(a)):
-                x, y = (set(zip(*(w[i:] for i in range(size)))) for w in (_words(ta[k]), _words(tb[k])))
+            for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = sets(a, ta), sets(b, tb)
                 shared = len(x & y)
                 if shared >= threshold * (len(x) + len(y) - shared):
-                    out.append((a[k], b[k], shared / (len(x) + len(y) - shared)))
+                    out.append((a, b, shared / (len(x) + len(y) - shared)))
             c = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], ["a", "b", "jaccard"])
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
-def _links(rows: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, jaccard), a < b, and the rows (digest, row_id) of all digests that have a link or a copy."""
-    candidates, members = _candidates(rows, size)
-    candidates = cut(candidates)
-    ends = _bounded(candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
-    members = cut(members.join(ends, "digest", "left_semi"))
+def _of_hot(texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(a, b), a < b: all pairs of texts (digest, text) that share one of their rarest runs and are of fitting lengths.
+
+    Runs are ordered by frequency; a pair of the similarity shares a run among the first (1 - threshold) of each.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = WordValues()
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = _words(text)
+                runs = np.unique(windows(np.array(value(words), np.uint64), np.array([len(words)]), size)[0]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), digest, np.int64)), pa.array(np.full(len(runs), len(runs), np.int32)), pa.array(runs)], ["digest", "n", "run"])
+
+    runs = texts.select("digest", "text").mapInArrow(explode, "digest bigint, n int, run bigint")
+    often = runs.groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
+    known = runs.join(often, "run", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("c", "run"))
+    first = known.withColumn("r", place).where((F.col("r") <= F.floor((1 - threshold) * F.col("n")) + 1) & (F.col("c") > 1)).select("run", "digest", "n")
+    a, b = (first.select("run", F.col("digest").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    fitting = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    return a.join(b, "run").where(fitting).select("a", "b").distinct()
+
+
+def _links(rows: DataFrame, size: int, threshold: float, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, jaccard), a < b, and (digest, row_id) of all rows with as many words as a run has."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * BANDS // BANDS_A_TASK))
+    found = cut(_meet(_blocks(rows, size, parts).repartitionById(parts, F.col("part"))))
+    members = found.where("kind = 2").select(F.col("a").alias("digest"), F.col("b").alias("row_id"))
     first = members.groupBy("digest").agg(F.min("row_id").alias("row_id"))
-    texts = rows.join(_bounded(first), "row_id").select("digest", "text")
-    a, b = (texts.select(F.col("digest").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return _verified(candidates.where("a < b").join(a, "a").join(b, "b"), size, threshold), members
 
+    def texts(digests: DataFrame) -> DataFrame:
+        some = first.join(digests, "digest", "left_semi")
+        return rows.join(F.broadcast(some) if digests.count() <= most_broadcast else some, "row_id").select("digest", "text")
 
-def _bounded(small: DataFrame) -> DataFrame:
-    """A table to be broadcast if it is small enough; beyond that the join shuffles."""
-    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
+    candidates = found.where("kind = 0").select("a", "b").distinct()
+    hot = found.where("kind = 1").select(F.col("a").alias("digest")).distinct()
+    if not hot.isEmpty():
+        candidates = candidates.unionByName(_of_hot(texts(cut(hot)), size, threshold)).distinct()
+    candidates = cut(candidates)
+    known = texts(candidates.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+    a, b = (known.select(F.col("digest").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    return _verified(candidates.join(a, "a").join(b, "b"), size, threshold), members
 
 
 def _rows(table: DataFrame, row_id: str, text: str) -> DataFrame:
     return table.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text"))
 
 
-def pairs(table: DataFrame, row_id: str = "row_id", text: str = "text", size: int = 3, threshold: float = 0.5) -> DataFrame:
+def pairs(table: DataFrame, row_id: str = "row_id", text: str = "text", size: int = 3, threshold: float = 0.5, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(row_id_a, row_id_b), row_id_a < row_id_b: all pairs of rows whose shingle sets have the similarity or more.
 
     Null texts and texts of fewer than `size` words form no pair; exact copies do. Its size is that of the result asked
     for; `groups` describes the same groups with one row per row of the table.
     """
-    links, members = _links(_rows(table, row_id, text), size, threshold)
-    members = members.where("row_id is not null")
+    links, members = _links(_rows(table, row_id, text), size, threshold, most_broadcast)
+    links = cut(links.select("a", "b"))
+    copied = members.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    members = members.join(links.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(copied).distinct(), "digest", "left_semi")
     a, b = (members.select(F.col("digest").alias(k), F.col("row_id").alias(f"r{k}")) for k in "ab")
-    apart = cut(links.select("a", "b")).join(a, "a").join(b, "b")
+    apart = links.join(a, "a").join(b, "b")
     copies = a.join(b, F.col("a") == F.col("b")).where("ra < rb")
     return apart.select("ra", "rb").unionByName(copies.select("ra", "rb")).where("ra <> rb").select(F.least("ra", "rb").alias("row_id_a"), F.greatest("ra", "rb").alias("row_id_b")).distinct()
 
 
-def groups(table: DataFrame, row_id: str = "row_id", text: str = "text", size: int = 3, threshold: float = 0.5) -> DataFrame:
+def groups(table: DataFrame, row_id: str = "row_id", text: str = "text", size: int = 3, threshold: float = 0.5, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(row_id, class_id, links): each row with the least row_id of its connected class and the number of its partners.
 
     Rows with a null text or one of fewer than `size` words are classes of their own with 0 links.
     """
     rows = _rows(table, row_id, text)
-    links, members = _links(rows, size, threshold)
+    links, members = _links(rows, size, threshold, most_broadcast)
     links = cut(links.select("a", "b"))
     copies = members.groupBy("digest").agg(F.count("*").alias("n"), F.min("row_id").alias("least"))
     size_of = copies.select("digest", "n")

@@ -108,8 +108,18 @@ def test_near_duplicates(spark):
 
 def test_bands_catch_the_threshold():
     x = np.random.default_rng(3).integers(0, 2**32, 200, dtype=np.uint32)
-    near = near_duplicates.minima(x[:150]), near_duplicates.minima(x[50:])  # similarity 0.5
-    assert abs((near[0] == near[1]).mean() - 0.5) < 0.12
+    near = near_duplicates.minima(np.concatenate((x[:150], x[50:])), np.array([150, 0, 150]))  # similarity 0.5
+    assert abs((near[:, 0] == near[:, 2]).mean() - 0.5) < 0.12
+    plain = (x[:150, None] * near_duplicates._A + near_duplicates._B).min(axis=0)
+    assert (near[:, 0] == plain).all()
+
+
+def test_minima_of_texts_longer_than_a_block():
+    x = np.random.default_rng(4).integers(0, 2**32, 30_000, dtype=np.uint32)
+    runs = np.array([0, 1, 9000, 0, 12_000, 8999, 0])
+    got = near_duplicates.minima(x, runs)
+    for k, (low, n) in enumerate(zip(np.cumsum(runs) - runs, runs)):
+        assert n == 0 or (got[:, k] == (x[low : low + n, None] * near_duplicates._A + near_duplicates._B).min(axis=0)).all()
 
 
 # p4
@@ -265,3 +275,35 @@ def test_hot_copies_are_one_node(spark):
     d = spark.range(3000).selectExpr("id row_id", "case when id % 3 = 0 then 'the same text in a third of all rows' else concat('row ', id, ' has its own text ', id * 7, ' of words') end text")
     got = near_duplicates.groups(d).groupBy("class_id").agg(F.count("*").alias("n"), F.max("links").alias("links"))
     assert rows(got.where("n > 1").select("class_id", "n", "links")) == [(0, 1000, 999)]
+
+
+def test_hot_buckets_lose_nothing(spark, monkeypatch):
+    """5,000 texts that share nearly half of their runs, hence bands: no pair but the planted ones is similar."""
+    rng = random.Random(11)
+    shared = " ".join(f"common{k}" for k in range(30))
+    items = [(k, f"{shared} " + " ".join(f"w{rng.randrange(10**7)}" for _ in range(36))) for k in range(5000)]
+    for k in range(60):
+        w = items[k * 80][1].split()
+        w[rng.randrange(30, 66)] = "changed"
+        items.append((10_000 + k, " ".join(w)))
+    table = spark.createDataFrame(items, "row_id long, text string").repartition(6)
+    want = sorted((k * 80, 10_000 + k) for k in range(60))
+    assert rows(near_duplicates.pairs(table)) == want
+    monkeypatch.setattr(near_duplicates, "TEXTS_A_BLOCK", 300)  # hot only where blocks meet
+    assert rows(near_duplicates.pairs(table, most_broadcast=0)) == want  # texts picked by a shuffled join
+    classes = near_duplicates.groups(table).where("links > 0")
+    assert rows(classes.select("row_id", "class_id")) == sorted([(a, a) for a, _ in want] + [(b, a) for a, b in want])
+
+
+def test_a_task_empties_hot_buckets(spark):
+    """As many bands as a task may hold: members go on before the end, and none is lost."""
+    rng = np.random.default_rng(5)
+    h = np.concatenate((np.full(4000, 7), np.full(30, 9), rng.integers(100, 2**31, 3000))).astype(np.uint32)
+    d = np.arange(len(h), dtype=np.int64)
+    blocks = [(0, 0, bytearray(near_duplicates._pack(h[k::7], d[k::7]))) for k in range(7)]
+    table = spark.createDataFrame(blocks, "part int, kind int, data binary").coalesce(1)
+    for most in (500, 10**9):
+        got = near_duplicates._meet(table, most).distinct()
+        assert {r.a for r in got.where("kind = 1").collect()} == set(range(4000))
+        pairs = {(r.a, r.b) for r in got.where("kind = 0").collect()}
+        assert {(a, b) for a in range(4000, 4030) for b in range(a + 1, 4030)} <= pairs
