@@ -6,7 +6,6 @@ from conftest import rows
 
 from corpuslane.operators import evaluate, search
 from corpuslane.operators.answer import NOT_FOUND, citations, context_query, extractive_answer, last_user, rate_limited
-from corpuslane.operators.components import components
 
 
 def brute_bm25(docs, query, k1=1.5, b=0.75):
@@ -100,21 +99,3 @@ def test_rate_limit(spark):
     df = spark.createDataFrame(t, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "to_timestamp(ts) ts")
     got = [r.allowed for r in rate_limited(df, 2, 10).orderBy("event_id").collect()]
     assert got == [True, True, False, False, True, True, False]
-
-
-def test_components(spark):
-    random.seed(1)
-    edges = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(5, 5), (None, 3)]
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        if a is not None and a != b:
-            parent[max(root(a), root(b))] = min(root(a), root(b))
-    want = sorted((x, min(y for y in parent if root(y) == root(x))) for x in parent)
-    assert rows(components(spark.createDataFrame(edges, "u long, v long"))) == want
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
