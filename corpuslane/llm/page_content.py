@@ -1,101 +1,142 @@
-"""The main body of web pages, by rules of tags and the equivalence classes of each site's tokens.
+"""The main body of web pages, by the equivalence classes of each site's tokens.
 
-Tokens (words, qualified by their path of elements) that occur equally often on the same pages of a site form an
-equivalence class; large and frequent classes are template. Order and nesting of classes, and the slots between their
-tokens, are not derived: a line is content if it is in a block of text (heading, paragraph, list, code) that is not
-nested in furniture (navigation, asides, footers, and generic blocks), and is no recurring line of template. Pages without their HTML are read by lines: against the furniture of
-their own site, and against lines that recur as furniture on several sites.
+A page is a sequence of tokens: tags and words, qualified by the path of elements they are in. Tokens with the same
+occurrence vector over the pages of a site form an equivalence class. A class is valid as far as its tokens keep their
+order on every page (those that do not are taken out) and its instances nest in those of other classes. Valid classes
+are the site's template, and what lies between two of their tokens is a slot. A line whose words are all tokens of
+valid classes is template; other lines fill the slot of the innermost class around them. Slots in boxes of
+links, and those filled with the same few lines again and again, are furniture. Of the others on a page, those of the box
+(element that holds blocks) that has the most words over the whole site, and of large boxes inside it, are main body.
 
-Sites of over PAGES pages are not held by a task: their tokens, recurring lines and furniture are aggregated over all
+Names of elements only decide where there are no vectors: on sites of less than LEAST_PAGES pages. Pages without their
+HTML are read by lines: against the furniture of their own site, and against lines that recur as furniture on several.
+
+Sites of over MOST_CHARS characters are not held by a task: vectors, orders, slots and boxes are aggregated over all
 pages of the site by shuffles and joined back to the pages, with the same results.
 """
 
 from __future__ import annotations
 
+import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslane.session import cut
 
-PAGES = 200
+#: Characters of HTML and text of a site that one task may hold.
+MOST_CHARS = 64_000_000
 #: Elements that hold running text, that are furniture with all they hold, and that don't break lines (fixed values).
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote dt dd td th figcaption caption".split())
 FURNITURE = frozenset("nav aside footer header form button select menu dialog".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i img kbd label mark q s samp small span strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_HIDDEN = frozenset("script style title head noscript template".split()) - {"head"}
-#: A class needs so many pages, tokens, and so large a share of the pages to be template.
-LEAST_PAGES, LEAST_TOKENS, LEAST_SHARE = 3, 3, 0.6
+_HIDDEN = frozenset("script style title noscript template".split())
+#: Elements that group blocks without being a box of their own (fixed values).
+_GROUPS = frozenset("ul ol dl tr tbody thead table blockquote li dd".split())
+#: A class needs so many pages, and so large a share of the site's (more for words, as texts repeat them), and so many tokens.
+LEAST_PAGES, LEAST_SHARE, LEAST_SHARE_WORDS, LEAST_TOKENS = 3, 0.05, 0.3, 2
+#: A box is furniture if so many of its lines are links, a slot if so few of its lines differ.
+MOST_LINKED, LEAST_VARIED = 0.5, 0.3
+#: Shares of words that a box needs: of all words in slots of the site, and of those of the box that it is in.
+LEAST_BOX, LEAST_INSIDE = 0.03, 0.1
 SEPARATORS = re.compile(r"\s+[·|/»>›•]\s+")
 WORD = re.compile(r"\S+")
+_PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.S)
+_NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
-Line = tuple[tuple[str, ...], str, float, bool, int]
+class Line(NamedTuple):
+    """A visible line: the elements around it, its text, the share of it in links, whether it is the first of its box, the number of the box around its block, the box's path, and where its words stand among the page's tokens."""
 
+    path: tuple[str, ...]
+    text: str
+    linked: float
+    first: bool
+    home: int
+    box: str
+    low: int
+    high: int
 
-class _Lines(HTMLParser):
-    """The visible lines of a page: (path of elements, text, share of it inside links, whether first in its box, number of the box around its block)."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.lines: list[Line] = []
-        self.ids: list[int] = []  # of the open elements
-        self.boxes: set[int] = set()  # ids of elements that already have a line
-        self.opened = 0
-        self.text, self.linked, self.hidden, self.links = "", 0, 0, 0
+class Page:
+    """The visible lines of a page and its tokens, as values of 63 bits: even ones of tags, odd ones of words."""
 
-    def _end_line(self) -> None:
-        for piece in self.text.split("\n") if "pre" in self.stack else [" ".join(self.text.split())]:
-            if piece.strip():
-                linked = self.linked / max(1, len(self.text.strip()))
-                box = (self.ids[-2:-1] if linked >= 0.8 else self.ids[-1:]) or [0]
-                home = next((i for t, i in zip(reversed(self.stack), reversed(self.ids)) if t not in TEXT_BLOCKS | {"ul", "ol", "dl", "tr", "tbody", "table"}), 0)
-                self.lines.append((tuple(self.stack), piece, linked, box[0] not in self.boxes, home))
-                self.boxes.add(box[0])
-        self.text, self.linked = "", 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _HIDDEN:
-            self.hidden += 1
-        self.links += tag == "a"
-        if tag not in INLINE:
-            self._end_line()
-            if tag not in _VOID:
-                self.stack.append(tag)
-                self.opened += 1
-                self.ids.append(self.opened)
-
-    def handle_endtag(self, tag):
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        self.links -= tag == "a" and self.links > 0
-        if tag not in INLINE:
+    def __init__(self, html: str):
+        self.lines: list[Line] = []
+        self.tokens: list[int] = []
+        self._tags: list[str] = []
+        self._paths: list[str] = []
+        self._ids: list[int] = []
+        self._begun: set[int] = set()
+        self._text, self._linked, opened, links, at = [], 0, 0, 0, 0
+        while m := _PIECE.match(html, at):
+            at = m.end()
+            tag = m[2] and m[2].lower()
+            if tag is None:
+                x = m[0]
+                if x[0] != "<" or x == "<":
+                    x = entities.unescape(x) if "&" in x else x
+                    self._text.append(x)
+                    self._linked += len(x.strip()) if links else 0
+                continue
+            if tag in _HIDDEN and not m[1]:
+                close = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(html, at)
+                at = close.end()
+                continue
+            links = links + 1 if tag == "a" and not m[1] else max(0, links - (tag == "a"))
+            if tag in INLINE:
+                continue
             self._end_line()
-            if tag in self.stack:
-                while self.stack.pop() != tag:
-                    pass
-                del self.ids[len(self.stack) :]
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.text += data
-            self.linked += len(data.strip()) if self.links else 0
-
+            if not m[1]:
+                if tag not in _VOID and not m[3].endswith("/"):
+                    named = _NAMED.search(m[3]) if m[3] else None
+                    own = f"{tag}.{named[1] or named[2] or named[3]}" if named else tag
+                    opened += 1
+                    self._tags.append(tag)
+                    self._paths.append(f"{self._paths[-1]}/{own}" if self._paths else own)
+                    self._ids.append(opened)
+                    self._add("<", self._paths[-1])
+            elif tag in self._tags:
+                while True:
+                    self._add(">", self._paths.pop())
+                    self._ids.pop()
+                    if self._tags.pop() == tag:
+                        break
+        self._end_line()
+
+    def _add(self, what: str, path: str) -> None:
+        self.tokens.append(xxhash.xxh3_64_intdigest(f"{path}\0{what}") >> 2 << 1)
 
-def page_lines(html: str) -> list[Line]:
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser._end_line()
-    return parser.lines
+    def _end_line(self) -> None:
+        if not self._text:
+            return
+        whole = "".join(self._text)
+        for piece in whole.split("\n") if "pre" in self._tags else [" ".join(whole.split())]:
+            if not piece.strip():
+                continue
+            linked = self._linked / max(1, len(whole.strip()))
+            first = (self._ids[-2:-1] if linked >= 0.8 else self._ids[-1:]) or [0]
+            home = next((i for t, i in zip(reversed(self._tags), reversed(self._ids)) if t not in TEXT_BLOCKS | _GROUPS), 0)
+            n = len(self._tags)
+            if n and self._tags[-1] in TEXT_BLOCKS:
+                n -= 1
+                while n and self._tags[n - 1] in _GROUPS:
+                    n -= 1
+            path, low = self._paths[-1] if self._paths else "", len(self.tokens)
+            self.tokens += [xxhash.xxh3_64_intdigest(f"{path}\0 {w}") >> 2 << 1 | 1 for w in WORD.findall(piece)]
+            self.lines.append(Line(tuple(self._tags), piece, linked, first[0] not in self._begun, home, self._paths[n - 1] if n else "", low, len(self.tokens)))
+            self._begun.add(first[0])
+        self._text, self._linked = [], 0
 
 
 def _is_text(path: tuple[str, ...], linked: float) -> bool:
@@ -105,9 +146,9 @@ def _is_text(path: tuple[str, ...], linked: float) -> bool:
 
 def text_lines(lines: list[Line]) -> list[bool]:
     """For each line, whether it is in a block of text, or in a list of links in a box that has other such blocks."""
-    plain = [_is_text(path, linked) for path, _, linked, _, _ in lines]
-    homes = {home for (_, _, _, _, home), x in zip(lines, plain) if x}
-    return [x or home in homes and _is_text(path, 0) for (path, _, _, _, home), x in zip(lines, plain)]
+    plain = [_is_text(path, linked) for path, _, linked, *_ in lines]
+    homes = {home for (_, _, _, _, home, *_), x in zip(lines, plain) if x}
+    return [x or home in homes and _is_text(path, 0) for (path, _, _, _, home, *_), x in zip(lines, plain)]
 
 
 def _site_name(host: str) -> str:
@@ -121,42 +162,201 @@ def _key(line: str, host: str) -> str:
     return re.sub(r"\d+", "0", line.replace(name, "@") if name else line)
 
 
-def template(pages: dict[str, list[Line]]) -> set[tuple]:
-    """Tokens (path, word) of the valid equivalence classes of a site, of which pages holds one page for each URL."""
-    urls = list(pages)
-    if len(urls) < LEAST_PAGES:
-        return set()
-    vectors: dict[tuple, Counter] = defaultdict(Counter)
-    places: dict[tuple, list[int]] = defaultdict(list)
-    for n, u in enumerate(urls):
-        for k, (path, text, *_) in enumerate(pages[u]):
-            for w in WORD.findall(text):
-                vectors[path, w][n] += 1
-                places[path, w].append(k)
-    classes: dict[frozenset, list[tuple]] = defaultdict(list)
-    for token, v in vectors.items():
-        if len(v) >= max(LEAST_PAGES, LEAST_SHARE * len(urls)) and max(v.values()) == min(v.values()):
-            classes[frozenset(v.items())].append(token)
-    valid: set[tuple] = set()
-    for tokens in classes.values():
-        if len(tokens) >= LEAST_TOKENS:
-            valid.update(tokens)
-    return valid
+Template = dict[int, tuple[int, int, int]]  # token -> its class, its place in it, the size of the class
+
+
+def vectors(pages: Iterable[tuple[int, Page]]) -> pd.DataFrame:
+    """(token, page, n, at): how often and where first the pages, numbered, have each token."""
+    parts = []
+    for number, page in pages:
+        tokens, at, n = np.unique(np.array(page.tokens, np.int64), return_index=True, return_counts=True)
+        parts.append((tokens, np.full(len(tokens), number, np.int64), n, at))
+    columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+    return pd.DataFrame(dict(zip(("token", "page", "n", "at"), columns)))
+
+
+def _classes(often: list[tuple[int, int, int, int]]) -> Template:
+    """The classes of tokens given as (token, class, first place, occurrences on a page), in order of first places."""
+    of: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for token, vector, at, _ in often:
+        of[vector].append((at, token))
+    return {t: (c, k, len(ts)) for c, ts in of.items() if len(ts) >= LEAST_TOKENS for k, (_, t) in enumerate(sorted(ts))}
+
+
+def out_of_order(page: Page, template: Template) -> set[int]:
+    """Tokens that must leave their class for the others to stand in one order on this page."""
+    places: dict[int, list[int]] = defaultdict(list)
+    for t in page.tokens:
+        if t in template:
+            places[template[t][0]].append(t)
+    bad: set[int] = set()
+    for seq in places.values():
+        size = template[seq[0]][2]
+        if all(template[t][1] == k % size for k, t in enumerate(seq)):
+            continue
+        if len(seq) > size:  # a class with repeated instances that are not alike
+            half = [t for k, t in enumerate(seq) if template[t][1] != k % size]
+            bad.update(half)
+            continue
+        best: list[int] = []  # the longest run of places in order: patience sorting
+        tails, back = [], {}
+        for t in seq:
+            r = template[t][1]
+            k = bisect_left(best, r)
+            back[t] = tails[k - 1] if k else None
+            if k == len(best):
+                best.append(r)
+                tails.append(t)
+            else:
+                best[k], tails[k] = r, t
+        keep, t = set(), tails[-1]
+        while t is not None:
+            keep.add(t)
+            t = back[t]
+        bad.update(t for t in seq if t not in keep)
+    return bad
+
+
+def walk(page: Page, template: Template) -> tuple[list[tuple[int, int] | None], set[int]]:
+    """Of each line its slot (innermost open class, last token passed), None for template; classes that do not nest."""
+    slots: list[tuple[int, int] | None] = []
+    crossed: set[int] = set()
+    stack: list[list[int]] = []
+    at, lines = 0, page.lines
+    position = {line.low: line for line in lines}
+    token_at = 0
+    tokens = page.tokens
+    while token_at < len(tokens):
+        line = position.get(token_at)
+        if line is not None:
+            before = (stack[-1][0], stack[-1][1]) if stack else (0, 0)
+            slots.append(None if all(t in template for t in tokens[line.low : line.high]) else before)
+        t = tokens[token_at]
+        if t in template:
+            c, k, size = template[t]
+            if k == 0:
+                stack.append([c, 0])
+            elif stack and stack[-1][0] == c and stack[-1][1] == k - 1:
+                stack[-1][1] = k
+            else:
+                below = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == c and stack[i][1] == k - 1), None)
+                if below is None:
+                    crossed.add(c)
+                else:
+                    crossed.update(x[0] for x in stack[below + 1 :])
+                    del stack[below + 1 :]
+                    stack[-1][1] = k
+            if k == size - 1 and stack and stack[-1][0] == c:
+                stack.pop()
+        token_at += 1
+    return slots, crossed
+
+
+def _without(template: Template, tokens: set[int], classes: set[int]) -> Template:
+    return _classes([(t, c, k, 0) for t, (c, k, _) in template.items() if t not in tokens and c not in classes])
+
+
+Boxes = dict[int, tuple[int, str]]  # slot -> words of its box on the site, the box
+
+
+class Slots:
+    """What fills the slots of a site, and the words of its boxes; kept by slot, path and line."""
+
+    def __init__(self):
+        self.lines: Counter = Counter()  # (slot, path, box, hash of the line): occurrences
+        self.linked: Counter = Counter()
+        self.words: Counter = Counter()
+
+    def add(self, page: Page, template: Template) -> None:
+        for line, key in zip(page.lines, slot_keys(page, template)):
+            if key is not None:
+                self.lines[key, line.box, xxhash.xxh3_64_intdigest(line.text) >> 1] += 1
+                self.linked[key] += line.linked >= 0.8
+                self.words[key] += line.high - line.low
+
+    def rows(self) -> list[tuple]:
+        """(slot, box, lines, distinct lines, lines that are links, words)."""
+        n, distinct, boxes = Counter(), Counter(), {}
+        for (key, box, _), k in self.lines.items():
+            n[key] += k
+            distinct[key] += 1
+            boxes[key] = box
+        return [(key, boxes[key], n[key], distinct[key], self.linked[key], self.words[key]) for key in n]
+
+
+def slot_keys(page: Page, template: Template) -> list[int | None]:
+    """Of each line a value of its slot, its path and its box; None for template."""
+    slots, _ = walk(page, template)
+    return [None if s is None else xxhash.xxh3_64_intdigest(f"{s}\0{'/'.join(line.path)}\0{line.box}") >> 1 for s, line in zip(slots, page.lines)]
+
+
+def main_slots(rows: list[tuple]) -> Boxes:
+    """Slots that may be main body and their boxes, of rows as Slots gives them for a whole site."""
+    lines, links = Counter(), Counter()
+    for _, box, n, _, linked, _ in rows:
+        lines[box] += n
+        links[box] += linked
+    good = [(key, box, words) for key, box, n, distinct, _, words in rows if links[box] < MOST_LINKED * lines[box] and (n < LEAST_PAGES or distinct >= LEAST_VARIED * n)]
+    words: Counter = Counter()
+    for _, box, k in good:
+        words[box] += k
+    least = LEAST_BOX * sum(words.values())
+    return {key: (words[box], box) for key, box, _ in good if words[box] >= least}
+
+
+def site_template(pages: dict[str, Page]) -> Template:
+    """The valid equivalence classes of a site's pages, one for each URL."""
+    if len(pages) < LEAST_PAGES:
+        return {}
+    urls = sorted(pages)
+    v = vectors((k, pages[u]) for k, u in enumerate(urls))
+    mark = np.array([xxhash.xxh3_64_intdigest(u) for u in urls], np.uint64)
+    v["mark"] = _marks(mark[v["page"].to_numpy()], v["n"].to_numpy())
+    t = v.groupby("token").agg(pages=("page", "size"), vector=("mark", "sum"), at=("at", "min"))
+    share = np.where(t.index.to_numpy() % 2 == 1, LEAST_SHARE_WORDS, LEAST_SHARE)
+    t = t[t["pages"] >= np.maximum(LEAST_PAGES, share * len(pages))]
+    template = _classes([(a, b, c, 0) for a, b, c in zip(t.index.tolist(), t["vector"].tolist(), t["at"].tolist())])
+    template = _without(template, set().union(*(out_of_order(p, template) for p in pages.values())), set())
+    return _without(template, set(), set().union(*(walk(p, template)[1] for p in pages.values())))
+
+
+def _marks(urls: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A value of each entry of a vector; a vector's value is their sum."""
+    x = (urls ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(20)).astype(np.int64)  # 44 bits: sums of 500,000 pages stay exact
+
+
+def is_main(page: Page, template: Template, slots: Boxes | None) -> list[bool]:
+    """For each line whether it is of the main body: in the box that has most words on the site of those on the page.
+
+    slots is None where the site has too few pages for vectors.
+    """
+    if slots is None:
+        return text_lines(page.lines)
+    found = [slots.get(key) if key is not None else None for key in slot_keys(page, template)]
+    if not any(found):
+        return [False] * len(found)
+    most, top = min((x for x in found if x), key=lambda x: (-x[0], x[1]))
+    inside = {b for n, b in {x for x in found if x} if b == top or b.startswith(top + "/") and n >= LEAST_INSIDE * most}
+    return [x is not None and x[1] in inside for x in found]
 
 
 def _aligned(text: str, lines: list[Line]) -> tuple[list[tuple[int, int]], int]:
     """(line number, place in lines) of the text's lines that are lines of the page, in order; and how many are not."""
-    wanted = [" ".join(x.split()) for _, x, *_ in lines]
+    places: dict[str, list[int]] = defaultdict(list)
+    for k, line in enumerate(lines):
+        places[" ".join(line.text.split())].append(k)
     out, at, lost = [], 0, 0
     for k, x in enumerate(text.split("\n"), 1):
         x = " ".join(x.split())
         if not x:
             continue
-        try:
-            at = wanted.index(x, at, at + 200)
-            out.append((k, at))
-            at += 1
-        except ValueError:
+        found = places.get(x, ())
+        n = bisect_left(found, at)
+        if n < len(found):
+            out.append((k, found[n]))
+            at = found[n] + 1
+        else:
             lost += 1
     return out, lost
 
@@ -201,64 +401,105 @@ def _by_lines(text: str, title: str | None, furniture: set[str], recurring: set[
     return out
 
 
-def _main(r, lines: list[Line] | None, dropped: set[tuple], furniture: set[str]) -> list[tuple[int, int]]:
-    """(url_id, line number) of a page's main body, given its site's lines of template and of furniture."""
-    matched, lost = _aligned(r.text or "", lines) if lines else ([], 1)
-    if lines and lost <= 0.2 * (lost + len(matched)):
-        texts = text_lines(lines)
-        return [(r.url_id, k) for k, at in matched if texts[at] and lines[at][:2] not in dropped]
+def _main(r, page: Page | None, main: list[bool] | None, furniture: set[str]) -> list[tuple[int, int]]:
+    """(url_id, line number) of a page's main body, given which lines of its HTML are, and its site's furniture.
+
+    A text that hardly is that of its HTML (more lines lost than found) is read by its lines.
+    """
+    matched, lost = _aligned(r.text or "", page.lines) if page else ([], 1)
+    if page and lost <= len(matched):
+        return [(r.url_id, k) for k, at in matched if main[at]]
     return [(r.url_id, k) for k in _by_lines(r.text or "", r.title, furniture, *(set(x) if x is not None else set() for x in (r.recurring, r.leads)))]
 
 
 def _analyse(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("url_id", ascending=False, kind="stable")  # of pages read twice, the first counts
-    parsed = {i: page_lines(h) for i, h in zip(group["url_id"], group["html"]) if h}
+    parsed = {i: Page(h) for i, h in zip(group["url_id"], group["html"]) if h}
     one_each = {u: parsed[i] for i, u in zip(group["url_id"], group["url"]) if i in parsed}
-    fixed = template(one_each)
-    often = Counter(x for lines in one_each.values() for x in {(path, text) for path, text, *_ in lines})
-    enough = max(LEAST_PAGES, LEAST_SHARE * len(one_each))
-    dropped = {(path, x) for (path, x), n in often.items() if n >= enough and all((path, w) in fixed for w in WORD.findall(x))}
-    furniture = {line[1].strip() for lines in parsed.values() for line, x in zip(lines, text_lines(lines)) if not x}
-    return pd.DataFrame([x for r in group.itertuples() for x in _main(r, parsed.get(r.url_id), dropped, furniture)], columns=["url_id", "line_no"])
+    template = site_template(one_each)
+    slots = None
+    if len(one_each) >= LEAST_PAGES:
+        filled = Slots()
+        for page in one_each.values():
+            filled.add(page, template)
+        slots = main_slots(filled.rows())
+    main = {i: is_main(page, template, slots) for i, page in parsed.items()}
+    furniture = {line.text.strip() for i, page in parsed.items() for line, x in zip(page.lines, main[i]) if not x}
+    return pd.DataFrame([x for r in group.itertuples() for x in _main(r, parsed.get(r.url_id), main.get(r.url_id), furniture)], columns=["url_id", "line_no"])
+
+
+def _as_template(x) -> Template:
+    """A template from its rows as Arrow gives them."""
+    return _classes([(r["token"], r["vector"], r["at"], 0) for r in x]) if x is not None else {}
 
 
 def _analyse_large(rows: DataFrame) -> DataFrame:
     """As _analyse for each host, over pages of sites of any size."""
     coded = rows.where("html is not null and html <> ''")
     ones = coded.groupBy("host", "url").agg(F.min("url_id").alias("url_id")).select("url_id", F.lit(True).alias("one"))
-    coded = coded.select("host", "url", "url_id", "html").join(ones, "url_id", "left")
+    coded = cut(coded.join(ones, "url_id", "left").select("host", "url", "url_id", "html", F.coalesce("one", F.lit(False)).alias("one")))
+    once = coded.where("one").drop("one")
+    sites = once.groupBy("host").agg(F.count("*").alias("urls")).where(f"urls >= {LEAST_PAGES}")
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            v = vectors((k, Page(h)) for k, h in enumerate(batch["html"]))
+            mark = np.array([xxhash.xxh3_64_intdigest(u) for u in batch["url"]], np.uint64)
+            page = v["page"].to_numpy()
+            yield pd.DataFrame({"host": batch["host"].to_numpy()[page], "token": v["token"], "mark": _marks(mark[page], v["n"].to_numpy()), "at": v["at"]})
+
+    found = once.mapInPandas(facts, "host string, token bigint, mark bigint, at bigint")
+    often = found.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("mark").alias("vector"), F.min("at").alias("at")).join(sites, "host")
+    often = cut(often.where(F.col("pages") >= F.greatest(F.lit(float(LEAST_PAGES)), F.when(F.col("token") % 2 == 1, LEAST_SHARE_WORDS).otherwise(LEAST_SHARE) * F.col("urls"))).select("host", "token", "vector", "at"))
+
+    def with_template(pages: DataFrame, tokens: DataFrame) -> DataFrame:
+        """A site's template has at most a page's tokens / LEAST_SHARE."""
+        return pages.join(tokens.groupBy("host").agg(F.collect_list(F.struct("token", "vector", "at")).alias("template")), "host", "left")
+
+    def taken_out(by_page, what: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = {(h, x) for h, page, t in zip(batch["host"], batch["html"], batch["template"]) for x in by_page(Page(page), _as_template(t))}
+                yield pd.DataFrame(sorted(out), columns=["host", what])
+
+        return run
+
+    bad = with_template(once, often).mapInPandas(taken_out(out_of_order, "token"), "host string, token bigint").distinct()
+    often = cut(often.join(bad, ["host", "token"], "left_anti"))
+    bad = with_template(once, often).mapInPandas(taken_out(lambda p, t: walk(p, t)[1], "vector"), "host string, vector bigint").distinct()
+    often = cut(often.join(bad, ["host", "vector"], "left_anti"))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for host, url, html, one in zip(batch["host"], batch["url"], batch["html"], batch["one"]):
-                lines = page_lines(html)
-                out += [(host, url, "furniture", "", x, 1) for x in {line[1].strip() for line, text in zip(lines, text_lines(lines)) if not text}]
-                if one is True:
-                    out += [(host, url, "line", path, x, 1) for path, x in {("/".join(line[0]), line[1]) for line in lines}]
-                    out += [(host, url, "token", path, w, n) for (path, w), n in Counter(("/".join(line[0]), w) for line in lines for w in WORD.findall(line[1])).items()]
-            yield pd.DataFrame(out, columns=["host", "url", "kind", "path", "text", "n"])
-
-    found = coded.mapInPandas(facts, "host string, url string, kind string, path string, text string, n int")
-    sites = coded.where("one").groupBy("host").agg(F.count_distinct("url").alias("urls"))
-    same = F.struct(F.bit_xor(F.xxhash64("url")), F.bit_xor(F.hash("url")))  # the pages that have it
-    counted = found.where("kind <> 'furniture'").groupBy("host", "kind", "path", "text").agg(F.count("*").alias("pages"), F.min("n").alias("low"), F.max("n").alias("high"), same.alias("same"))
-    often = cut(counted.join(sites, "host").where((F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), LEAST_SHARE * F.col("urls"))) & (F.col("low") == F.col("high"))))
-    vector = ["host", "pages", "low", "same"]
-    classes = often.where("kind = 'token'").groupBy(*vector).agg(F.count("*").alias("tokens")).where(f"tokens >= {LEAST_TOKENS}").drop("tokens")
-    fixed = often.where("kind = 'token'").join(classes, vector).groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("fixed"))
-    again = often.where("kind = 'line'").groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("lines"))  # both at most a page's size / LEAST_SHARE
-
-    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for host, html, t in zip(batch["host"], batch["html"], batch["template"]):
+                page = Page(html)
+                out += [(host, key, line.box, xxhash.xxh3_64_intdigest(line.text) >> 1, int(line.linked >= 0.8), line.high - line.low) for line, key in zip(page.lines, slot_keys(page, _as_template(t))) if key is not None]
+            yield pd.DataFrame(out, columns=["host", "slot", "box", "line", "linked", "words"])
+
+    filled = with_template(once.join(sites, "host", "left_semi"), often).mapInPandas(fill, "host string, slot bigint, box string, line bigint, linked bigint, words bigint")
+    by_line = filled.groupBy("host", "slot", "box", "line").agg(F.count("*").alias("n"), F.sum("linked").alias("linked"), F.sum("words").alias("words"))
+    by_slot = by_line.groupBy("host", "slot", "box").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), F.sum("linked").alias("linked"), F.sum("words").alias("words"))
+    by_slot = cut(by_slot)
+    open_boxes = by_slot.groupBy("host", "box").agg(F.sum("linked").alias("x"), F.sum("n").alias("y")).where(F.col("x") < MOST_LINKED * F.col("y")).select("host", "box")
+    good = by_slot.where((F.col("n") < LEAST_PAGES) | (F.col("distinct") >= LEAST_VARIED * F.col("n"))).join(open_boxes, ["host", "box"], "left_semi")
+    boxes = good.groupBy("host", "box").agg(F.sum("words").alias("words"))
+    whole = boxes.groupBy("host").agg(F.sum("words").alias("whole"))
+    kept = boxes.join(whole, "host").where(F.col("words") >= LEAST_BOX * F.col("whole")).select("host", "box", F.col("words").alias("most"))
+    slots = good.join(kept, ["host", "box"]).groupBy("host").agg(F.collect_list(F.struct("slot", "most", "box")).alias("slots"))
+    known = sites.select("host", F.lit(True).alias("large")).join(slots, "host", "left")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for host, tokens, lines in zip(batch["host"], batch["fixed"], batch["lines"]):
-                tokens = {(x["path"], x["text"]) for x in tokens} if tokens is not None else set()
-                out.append((host, [f"{x['path']}\n{x['text']}" for x in lines if all((x["path"], w) in tokens for w in WORD.findall(x["text"]))]))
-            yield pd.DataFrame(out, columns=["host", "dropped"])
+            for i, host, html, t, x, large in zip(batch["url_id"], batch["host"], batch["html"], batch["template"], batch["slots"], batch["large"]):
+                page = Page(html)
+                main = is_main(page, _as_template(t), {y["slot"]: (y["most"], y["box"]) for y in (x if x is not None else ())} if large is True else None)
+                out.append((i, host, main, sorted({line.text.strip() for line, m in zip(page.lines, main) if not m})))
+            yield pd.DataFrame(out, columns=["url_id", "host", "main", "furniture"])
 
-    dropped = again.join(fixed, "host", "left").mapInPandas(drop, "host string, dropped array<string>")
-    furniture = found.where("kind = 'furniture'").select("host", F.col("text").alias("x")).distinct()
+    judged = cut(with_template(coded, often).join(known, "host", "left").mapInPandas(judge, "url_id bigint, host string, main array<boolean>, furniture array<string>"))
+    furniture = judged.select("host", F.explode("furniture").alias("x")).distinct()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -270,11 +511,10 @@ def _analyse_large(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                gone = {(tuple(p.split("/")) if p else (), x) for p, _, x in (y.partition("\n") for y in (r.dropped if r.dropped is not None else ()))}
-                out += _main(r, page_lines(r.html) if r.html else None, gone, set(r.furniture) if r.furniture is not None else set())
+                out += _main(r, Page(r.html) if r.html else None, r.main, set(r.furniture) if r.furniture is not None else set())
             yield pd.DataFrame(out, columns=["url_id", "line_no"])
 
-    return rows.join(dropped, "host", "left").join(hits, "url_id", "left").mapInPandas(run, "url_id bigint, line_no int")
+    return rows.join(judged.select("url_id", "main"), "url_id", "left").join(hits, "url_id", "left").mapInPandas(run, "url_id bigint, line_no int")
 
 
 def main_lines(pages: DataFrame, least_hosts: int = 3) -> DataFrame:
@@ -289,8 +529,8 @@ def main_lines(pages: DataFrame, least_hosts: int = 3) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages_lines = [(h, page_lines(html)) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            found = {(_key(x, h), h, linked >= 0.8) for h, lines in pages_lines for (path, x, linked, first, _), text in zip(lines, text_lines(lines)) if not text and (first or linked < 0.8 or {*path} & {"nav", "footer", "header"})}
+            pages_lines = [(h, Page(html).lines) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            found = {(_key(x.text, h), h, x.linked >= 0.8) for h, lines in pages_lines for x, text in zip(lines, text_lines(lines)) if not text and (x.first or x.linked < 0.8 or {*x.path} & {"nav", "footer", "header"})}
             columns = list(zip(*sorted(found))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()))], ["key", "host", "linked"])
 
@@ -310,7 +550,8 @@ def main_lines(pages: DataFrame, least_hosts: int = 3) -> DataFrame:
     bare = rows.where("(html is null or html = '') and text is not null").select("url_id", "host", "text").mapInArrow(lines, "url_id bigint, line_no int, parts int, key string")
     hits = bare.join(often, "key").groupBy("url_id", "line_no", "parts").agg(F.count("*").alias("n"), F.min("lead").alias("lead")).where("n >= parts")
     recurring = hits.groupBy("url_id").agg(F.collect_set("line_no").alias("recurring"), F.collect_set(F.when(F.col("lead"), F.col("line_no"))).alias("leads"))
-    large = rows.groupBy("host").agg(F.count("*").alias("n")).where(f"n > {PAGES}").select("host", F.lit(True).alias("large"))
+    size = F.coalesce(F.length("html"), F.lit(0)) + F.coalesce(F.length("text"), F.lit(0))
+    large = rows.groupBy("host").agg(F.sum(size).alias("n")).where(f"n > {MOST_CHARS}").select("host", F.lit(True).alias("large"))
     joined = rows.join(large, "host", "left").join(recurring, "url_id", "left").select("large", "host", "url_id", "url", "title", "text", "html", "recurring", "leads")
     small = joined.where("large is null").drop("large").groupBy("host").applyInPandas(_analyse, "url_id bigint, line_no int")
     return small.unionByName(_analyse_large(joined.where("large").drop("large")))

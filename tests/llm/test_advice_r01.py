@@ -53,5 +53,5 @@ def test_large_site_is_read_as_a_whole(spark, monkeypatch):
     table = spark.createDataFrame(items, "url_id long, url string, title string, text string, html string")
     whole = rows(page_content.main_lines(table))
     assert whole == sorted([(k, n) for k in [*range(30), 50] for n in (2, 3)] + [(90, 1), (90, 2)])
-    monkeypatch.setattr(page_content, "PAGES", 3)
+    monkeypatch.setattr(page_content, "MOST_CHARS", 300)
     assert rows(page_content.main_lines(table)) == whole
