@@ -69,9 +69,13 @@ class Line(NamedTuple):
 
 
 class Page:
-    """The visible lines of a page and its tokens, as values of 63 bits: even ones of tags, odd ones of words."""
+    """The visible lines of a page and its tokens, as values of 63 bits: even ones of tags, odd ones of words.
 
-    def __init__(self, html: str):
+    tokens=False leaves the tokens out.
+    """
+
+    def __init__(self, html: str, tokens: bool = True):
+        self._hashed = tokens
         self.lines: list[Line] = []
         self.tokens: list[int] = []
         self._tags: list[str] = []
@@ -84,7 +88,7 @@ class Page:
             tag = m[2] and m[2].lower()
             if tag is None:
                 x = m[0]
-                if x[0] != "<" or x == "<":
+                if (x[0] != "<" or x == "<") and (self._text or not x.isspace()):
                     x = entities.unescape(x) if "&" in x else x
                     self._text.append(x)
                     self._linked += len(x.strip()) if links else 0
@@ -115,6 +119,8 @@ class Page:
         self._end_line()
 
     def _add(self, what: str, path: str) -> None:
+        if not self._hashed:
+            return
         self.tokens.append(xxhash.xxh3_64_intdigest(f"{path}\0{what}") >> 2 << 1)
 
     def _end_line(self) -> None:
@@ -133,7 +139,8 @@ class Page:
                 while n and self._tags[n - 1] in _GROUPS:
                     n -= 1
             path, low = self._paths[-1] if self._paths else "", len(self.tokens)
-            self.tokens += [xxhash.xxh3_64_intdigest(f"{path}\0 {w}") >> 2 << 1 | 1 for w in WORD.findall(piece)]
+            if self._hashed:
+                self.tokens += [xxhash.xxh3_64_intdigest(f"{path}\0 {w}") >> 2 << 1 | 1 for w in WORD.findall(piece)]
             self.lines.append(Line(tuple(self._tags), piece, linked, first[0] not in self._begun, home, self._paths[n - 1] if n else "", low, len(self.tokens)))
             self._begun.add(first[0])
         self._text, self._linked = [], 0
@@ -222,18 +229,13 @@ def walk(page: Page, template: Template) -> tuple[list[tuple[int, int] | None],
     slots: list[tuple[int, int] | None] = []
     crossed: set[int] = set()
     stack: list[list[int]] = []
-    at, lines = 0, page.lines
-    position = {line.low: line for line in lines}
-    token_at = 0
-    tokens = page.tokens
-    while token_at < len(tokens):
-        line = position.get(token_at)
-        if line is not None:
-            before = (stack[-1][0], stack[-1][1]) if stack else (0, 0)
-            slots.append(None if all(t in template for t in tokens[line.low : line.high]) else before)
-        t = tokens[token_at]
-        if t in template:
-            c, k, size = template[t]
+    hits = [(at, *template[t]) for at, t in enumerate(page.tokens) if t in template]
+    n = 0
+    for line in [*page.lines, None]:
+        end = line.low if line else len(page.tokens)
+        while n < len(hits) and hits[n][0] < end:
+            _, c, k, size = hits[n]
+            n += 1
             if k == 0:
                 stack.append([c, 0])
             elif stack and stack[-1][0] == c and stack[-1][1] == k - 1:
@@ -242,13 +244,15 @@ def walk(page: Page, template: Template) -> tuple[list[tuple[int, int] | None],
                 below = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == c and stack[i][1] == k - 1), None)
                 if below is None:
                     crossed.add(c)
-                else:
-                    crossed.update(x[0] for x in stack[below + 1 :])
-                    del stack[below + 1 :]
-                    stack[-1][1] = k
-            if k == size - 1 and stack and stack[-1][0] == c:
+                    continue
+                crossed.update(x[0] for x in stack[below + 1 :])
+                del stack[below + 1 :]
+                stack[-1][1] = k
+            if k == size - 1:
                 stack.pop()
-        token_at += 1
+        if line:
+            full = n + line.high - line.low <= len(hits) and hits[n + line.high - line.low - 1][0] == line.high - 1
+            slots.append(None if full else (stack[-1][0], stack[-1][1]) if stack else (0, 0))
     return slots, crossed
 
 
@@ -267,8 +271,8 @@ class Slots:
         self.linked: Counter = Counter()
         self.words: Counter = Counter()
 
-    def add(self, page: Page, template: Template) -> None:
-        for line, key in zip(page.lines, slot_keys(page, template)):
+    def add(self, page: Page, keys: list[int | None]) -> None:
+        for line, key in zip(page.lines, keys):
             if key is not None:
                 self.lines[key, line.box, xxhash.xxh3_64_intdigest(line.text) >> 1] += 1
                 self.linked[key] += line.linked >= 0.8
@@ -326,14 +330,14 @@ def _marks(urls: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) >> np.uint64(20)).astype(np.int64)  # 44 bits: sums of 500,000 pages stay exact
 
 
-def is_main(page: Page, template: Template, slots: Boxes | None) -> list[bool]:
+def is_main(page: Page, keys: list[int | None], slots: Boxes | None) -> list[bool]:
     """For each line whether it is of the main body: in the box that has most words on the site of those on the page.
 
     slots is None where the site has too few pages for vectors.
     """
     if slots is None:
         return text_lines(page.lines)
-    found = [slots.get(key) if key is not None else None for key in slot_keys(page, template)]
+    found = [slots.get(key) if key is not None else None for key in keys]
     if not any(found):
         return [False] * len(found)
     most, top = min((x for x in found if x), key=lambda x: (-x[0], x[1]))
@@ -417,13 +421,14 @@ def _analyse(group: pd.DataFrame) -> pd.DataFrame:
     parsed = {i: Page(h) for i, h in zip(group["url_id"], group["html"]) if h}
     one_each = {u: parsed[i] for i, u in zip(group["url_id"], group["url"]) if i in parsed}
     template = site_template(one_each)
+    keys = {i: slot_keys(page, template) for i, page in parsed.items()}
     slots = None
     if len(one_each) >= LEAST_PAGES:
         filled = Slots()
-        for page in one_each.values():
-            filled.add(page, template)
+        for i in {u: i for i, u in zip(group["url_id"], group["url"]) if i in parsed}.values():
+            filled.add(parsed[i], keys[i])
         slots = main_slots(filled.rows())
-    main = {i: is_main(page, template, slots) for i, page in parsed.items()}
+    main = {i: is_main(page, keys[i], slots) for i, page in parsed.items()}
     furniture = {line.text.strip() for i, page in parsed.items() for line, x in zip(page.lines, main[i]) if not x}
     return pd.DataFrame([x for r in group.itertuples() for x in _main(r, parsed.get(r.url_id), main.get(r.url_id), furniture)], columns=["url_id", "line_no"])
 
@@ -494,7 +499,7 @@ def _analyse_large(rows: DataFrame) -> DataFrame:
             out = []
             for i, host, html, t, x, large in zip(batch["url_id"], batch["host"], batch["html"], batch["template"], batch["slots"], batch["large"]):
                 page = Page(html)
-                main = is_main(page, _as_template(t), {y["slot"]: (y["most"], y["box"]) for y in (x if x is not None else ())} if large is True else None)
+                main = is_main(page, slot_keys(page, _as_template(t)), {y["slot"]: (y["most"], y["box"]) for y in (x if x is not None else ())} if large is True else None)
                 out.append((i, host, main, sorted({line.text.strip() for line, m in zip(page.lines, main) if not m})))
             yield pd.DataFrame(out, columns=["url_id", "host", "main", "furniture"])
 
@@ -529,7 +534,7 @@ def main_lines(pages: DataFrame, least_hosts: int = 3) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages_lines = [(h, Page(html).lines) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            pages_lines = [(h, Page(html, False).lines) for h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             found = {(_key(x.text, h), h, x.linked >= 0.8) for h, lines in pages_lines for x, text in zip(lines, text_lines(lines)) if not text and (x.first or x.linked < 0.8 or {*x.path} & {"nav", "footer", "header"})}
             columns = list(zip(*sorted(found))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()))], ["key", "host", "linked"])
@@ -551,10 +556,10 @@ def main_lines(pages: DataFrame, least_hosts: int = 3) -> DataFrame:
     hits = bare.join(often, "key").groupBy("url_id", "line_no", "parts").agg(F.count("*").alias("n"), F.min("lead").alias("lead")).where("n >= parts")
     recurring = hits.groupBy("url_id").agg(F.collect_set("line_no").alias("recurring"), F.collect_set(F.when(F.col("lead"), F.col("line_no"))).alias("leads"))
     size = F.coalesce(F.length("html"), F.lit(0)) + F.coalesce(F.length("text"), F.lit(0))
-    large = rows.groupBy("host").agg(F.sum(size).alias("n")).where(f"n > {MOST_CHARS}").select("host", F.lit(True).alias("large"))
+    large = cut(rows.groupBy("host").agg(F.sum(size).alias("n")).where(f"n > {MOST_CHARS}").select("host", F.lit(True).alias("large")))
     joined = rows.join(large, "host", "left").join(recurring, "url_id", "left").select("large", "host", "url_id", "url", "title", "text", "html", "recurring", "leads")
     small = joined.where("large is null").drop("large").groupBy("host").applyInPandas(_analyse, "url_id bigint, line_no int")
-    return small.unionByName(_analyse_large(joined.where("large").drop("large")))
+    return small if large.isEmpty() else small.unionByName(_analyse_large(joined.where("large").drop("large")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from conftest import rows
 
 from corpuslane.llm import page_content
-from corpuslane.llm.page_content import Page, is_main, main_slots, out_of_order, site_template, walk
+from corpuslane.llm.page_content import Page, is_main, main_slots, out_of_order, site_template, slot_keys, walk
 
 SCHEMA = "url_id long, url string, title string, text string, html string"
 
@@ -53,16 +53,16 @@ def test_slots_tell_the_main_body():
     template = site_template(pages)
     filled = page_content.Slots()
     for p in pages.values():
-        filled.add(p, template)
+        filled.add(p, slot_keys(p, template))
     slots = main_slots(filled.rows())
     for p in pages.values():
-        main = [line.text for line, x in zip(p.lines, is_main(p, template, slots)) if x]
+        main = [line.text for line, x in zip(p.lines, is_main(p, slot_keys(p, template), slots)) if x]
         assert len(main) == 4 and main[0].startswith("Head") and all(x.startswith("word") for x in main[1:])
     # without the template nothing is left to tell lines that every page has from content
     plain = page_content.Slots()
     for p in pages.values():
-        plain.add(p, {})
-    assert any("Subscribe" in line.text for p in pages.values() for line, x in zip(p.lines, is_main(p, {}, main_slots(plain.rows()))) if x)
+        plain.add(p, slot_keys(p, {}))
+    assert any("Subscribe" in line.text for p in pages.values() for line, x in zip(p.lines, is_main(p, slot_keys(p, {}), main_slots(plain.rows()))) if x)
 
 
 def test_site_of_600_pages_split_and_whole(spark, monkeypatch):
