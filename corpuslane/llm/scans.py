@@ -1,22 +1,28 @@
 """Text of scanned pages: noise found, and repaired into continuous paragraphs.
 
 Misread words are looked up in a trie of the vocabulary of all pages by intersecting it with a Levenshtein automaton,
-which retrieves every candidate; candidates are ranked by their frequency next to their neighbours. Running headers
+which retrieves every candidate (for all unknown words of many files at once: they descend the trie together);
+candidates are ranked by the likelihood of their confusions, their frequency and that next to their neighbours. Running headers
 and page numbers are told by their recurrence and their order within a file; what remains is joined and reflowed.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslane.session import cut
+
 #: Words (and pairs of words) rarer than this share of all words are no vocabulary; so it has at most 1 / SHARE entries.
 SHARE, LEAST_COUNT = 2e-6, 3
 #: How often a word is read as a given other, by one confusion of the tables below, by a sign for some letter, and by
@@ -26,6 +32,8 @@ BY_CONFUSION, BY_SIGN, BY_EDIT = 1 / 25, 1 / 50, 1 / 200
 BY_EDIT_AGAIN = 1 / 20_000
 #: Readings, as a count, by which a word outside the vocabulary counts as well read, and if it is capitalised or short.
 UNKNOWN, UNKNOWN_NAME = 0.12, 1.0
+#: Characters of files that are read together.
+BATCH = 8_000_000
 #: Edits that the automaton allows.
 MOST_EDITS = 2
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
@@ -42,35 +50,52 @@ _SIGNS = set("0123456789|@$!€£§{}<>\\/+*^~_#&%")
 
 
 class Trie:
-    """A trie of words with their counts, as nested dicts; the key "" holds (word, count)."""
+    """A trie of words with their counts in flat arrays: the children of node k are nodes first[k] up to first[k + 1]."""
 
     def __init__(self, counts: dict[str, int]):
-        self.root: dict = {}
-        for word, n in counts.items():
-            node = self.root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = (word, n)
-
-    def within(self, word: str, most: int = 1) -> list[tuple[int, str, int]]:
-        """(distance, word, count) of all words within an edit distance.
+        words = sorted(counts)
+        signs, first, ends, best = [""], [], [], [max(counts.values(), default=0)]
+        level, depth = [(0, len(words))], 0
+        self.words, self.counts = words, [counts[w] for w in words]
+        while level:
+            below = []
+            for low, high in level:
+                first.append(len(signs))
+                ends.append(-1)
+                if low < high and len(words[low]) == depth:
+                    ends[-1] = low
+                    low += 1
+                while low < high:
+                    c, k = words[low][depth], low + 1
+                    while k < high and words[k][depth] == c:
+                        k += 1
+                    signs.append(c)
+                    best.append(max(self.counts[low:k]))
+                    below.append((low, k))
+                    low = k
+            level, depth = below, depth + 1
+        first.append(len(signs))
+        self.signs, self.first, self.ends, self.best = "".join([" ", *signs[1:]]), array("i", first), array("i", ends), array("q", best)
+
+    def within(self, word: str, most: int = 1, least: float = 0) -> list[tuple[int, str, int]]:
+        """(distance, word, count) of all words within an edit distance that are counted `least` times or more.
 
         The automaton's states are sets of bits for each number of edits; bit k is set where k characters are read.
         """
-        masks: dict[str, int] = defaultdict(int)
+        masks: dict[str, int] = {}
         for k, c in enumerate(word):
-            masks[c] |= 2 << k
+            masks[c] = masks.get(c, 0) | 2 << k
+        signs, first, ends, best = self.signs, self.first, self.ends, self.best
         end, whole = 1 << len(word), (2 << len(word)) - 1
-        found, stack = [], [(self.root, tuple(((2 << d) - 1) & whole for d in range(most + 1)))]
+        found, stack = [], [(0, tuple(((2 << d) - 1) & whole for d in range(most + 1)))]
         while stack:
             node, states = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    d = next((d for d, bits in enumerate(states) if bits & end), None)
-                    if d is not None:
-                        found.append((d, *child))
+            if ends[node] >= 0 and states[-1] & end and self.counts[ends[node]] >= least:
+                found.append((next(d for d, bits in enumerate(states) if bits & end), self.words[ends[node]], self.counts[ends[node]]))
+            for child in range(first[node], first[node + 1]):
+                if best[child] < least:
                     continue
-                mask = masks.get(c, 0)
+                mask = masks.get(signs[child], 0)
                 before = states[0]
                 bits = before << 1 & mask
                 new = [bits]
@@ -79,12 +104,53 @@ class Trie:
                     new.append(bits)
                     before = state
                 if bits:
-                    stack.append((child, tuple(new)))
+                    stack.append((child, new))
+        return found
+
+    def within_all(self, words: list[str], most: int, least: np.ndarray) -> list[list[int]]:
+        """For each of many words of at most 62 characters, the places of what `within` finds: all descend together."""
+        masks: dict[str, np.ndarray] = {}
+        for q, word in enumerate(words):
+            for k, c in enumerate(word):
+                if c not in masks:
+                    masks[c] = np.zeros(len(words), np.uint64)
+                masks[c][q] |= np.uint64(2 << k)
+        lengths = np.array([len(w) for w in words], np.uint64)
+        one = np.uint64(1)
+        ends, whole = one << lengths, (np.uint64(2) << lengths) - one
+        found: list[list[int]] = [[] for _ in words]
+        none = np.zeros(len(words), np.uint64)
+        signs, first, places, best = self.signs, self.first, self.ends, self.best
+        stack = [(0, np.arange(len(words)), [np.full(len(words), (2 << d) - 1, np.uint64) & whole for d in range(most + 1)])]
+        while stack:
+            node, active, states = stack.pop()
+            if places[node] >= 0:
+                for q in active[(states[-1] & ends[active] != 0) & (self.counts[places[node]] >= least[active])].tolist():
+                    found[q].append(places[node])
+            for child in range(first[node], first[node + 1]):
+                mask, limit = masks.get(signs[child], none)[active], whole[active]
+                before = states[0]
+                bits = before << one & mask
+                new = [bits]
+                for state in states[1:]:
+                    bits = (state << one & mask | before << one | bits << one | before) & limit
+                    new.append(bits)
+                    before = state
+                keep = np.flatnonzero((bits != 0) & (least[active] <= best[child]))
+                if len(keep):
+                    stack.append((child, active[keep], [x[keep] for x in new]))
         return found
 
 
 def _confusion(read: str, meant: str, by_edit: float) -> float:
     """How often meant is read as read, by the likeliest way of confusions, signs and other edits."""
+    low, high = 0, min(len(read), len(meant))
+    while low < high and read[low] == meant[low]:
+        low += 1
+    end = 0
+    while end < high - low and read[-1 - end] == meant[-1 - end]:
+        end += 1
+    read, meant = read[low : len(read) - end], meant[low : len(meant) - end]
     best = [[0.0] * (len(meant) + 1) for _ in range(len(read) + 1)]
     best[0][0] = 1.0
     for i in range(len(read) + 1):
@@ -111,34 +177,51 @@ class Reader:
         self.words, self.pairs, self.trie = words, pairs, Trie(words)
         self.top = max(words.values(), default=0)
         self.known: dict[tuple[str, bool], list[tuple[float, str]]] = {}
+        self.fine: set[str] = set()  # tokens without a candidate, whatever is around them
 
     def candidates(self, word: str, name: bool = False) -> list[tuple[float, str]]:
         """(expected readings as this word, candidate) of all words that it may be a misreading of, likeliest first.
 
-        Confused characters lead to some; the automaton retrieves all others, as far as the most frequent word could be
-        read so often with as many edits.
+        The automaton retrieves all words within as many edits as the most frequent word could be read so often by; it
+        passes by what is too rare to be read as a known word that often.
         """
-        if (word, name) in self.known:
-            return self.known[word, name]
+        if (word, name) not in self.known:
+            asked = self._question(word, name)
+            self._learn(word, name, [(w, n) for _, w, n in self.trie.within(word, *asked)] if asked else [])
+        return self.known[word, name]
+
+    def _question(self, word: str, name: bool) -> tuple[int, float] | None:
+        """The number of edits to look within, and the least count of what can be meant; None if nothing can."""
+        own, signs = self.words.get(word, 0), sum(c in _SIGNS for c in word)
+        if len(word) < 3 and not signs or own > self.top * BY_CONFUSION:
+            return None
+        by_edit = BY_EDIT_AGAIN if own or name else BY_EDIT
+        most = max(MOST_EDITS if 2 * signs < len(word) or len(word) < 4 else 1, min(signs, 4)) if len(word) >= 3 else 1
+        if own and max(BY_CONFUSION * by_edit, by_edit) * self.top < own:
+            most = min(most, 2)  # a confused group is two edits
+        return most, own / BY_CONFUSION
+
+    def _learn(self, word: str, name: bool, near: list[tuple[str, int]]) -> None:
         own = self.words.get(word, 0)
-        by_edit, least = BY_EDIT_AGAIN if own or name else BY_EDIT, own or UNKNOWN
-        options: dict[str, int] = {}
-        if len(word) >= 3 or any(c in _SIGNS for c in word):
-            near = {word[:k] + x + word[k + 1 :] for k, c in enumerate(word) for x in CONFUSED.get(c, "")}
-            near |= {word[: m.start()] + new + word[m.end() :] for old, new in GROUPS for m in re.finditer(old, word)}
-            options = {v: self.words[v] for v in near if v in self.words}
-            signs = sum(c in _SIGNS for c in word)
-            if len(word) >= 3 and 2 * signs < len(word):
-                one = BY_SIGN if signs else by_edit
-                two = (BY_CONFUSION if not own else by_edit) * BY_CONFUSION
-                most = MOST_EDITS if two * self.top >= least else 1 if one * self.top >= least else 0
-                if most := max(most, signs):
-                    options |= {w: n for _, w, n in self.trie.within(word, most)}
-        found = sorted(((n * _confusion(word, w, by_edit), w) for w, n in options.items() if w != word), reverse=True)
-        if len(self.known) > 300_000:
+        by_edit = BY_EDIT_AGAIN if own or name else BY_EDIT
+        found = sorted(((n * _confusion(word, w, by_edit), w) for w, n in near if w != word), reverse=True)
+        self.known[word, name] = [x for x in found if x[0] >= (own or UNKNOWN) / 1000]
+
+    def prepare(self, lines: Iterable[str]) -> None:
+        """Asks the automaton at once for all words of the lines that are not known yet."""
+        if len(self.known) > 1_000_000:
             self.known.clear()
-        self.known[word, name] = found = [x for x in found if x[0] >= least / 1000][:100]
-        return found
+        asked: dict[int, dict[tuple[str, bool], float]] = defaultdict(dict)
+        for token in {t for x in lines for t in TOKEN.findall(x)} - self.fine:
+            low = token.lower()
+            key = low, not token[0].islower() and not any(c in _SIGNS for c in low)
+            if key not in self.known and (question := self._question(*key)) and len(low) <= 62 and sum(map(str.isalpha, low)) >= 2:
+                asked[question[0]][key] = question[1]
+        for most, keys in asked.items():
+            for k in range(0, len(keys), 20_000):
+                part = list(keys)[k : k + 20_000]
+                for key, places in zip(part, self.trie.within_all([w for w, _ in part], most, np.array([keys[x] for x in part]))):
+                    self._learn(*key, [(self.trie.words[i], self.trie.counts[i]) for i in places])
 
     def misread(self, token: str, before: str = "", after: str = "") -> str | None:
         """The candidate that fits a token that is not well read best, between its neighbours; None for good ones."""
@@ -160,7 +243,11 @@ class Reader:
         low = token.lower()
         own, signs = self.words.get(low, 0), any(c in _SIGNS for c in low)
         found = self.candidates(low, not token[0].islower() and not signs)
-        if not found:
+        if not found or own and found[0][0] < own:
+            if len(self.fine) > 1_000_000:
+                self.fine.clear()
+            if low in self.words or not re.search(r"[-’']", low):
+                self.fine.add(token)
             return None
         fits = [((1 + self.pairs.get((before, w), 0)) * (1 + self.pairs.get((w, after), 0)), n, w) for n, w in found]
         if own:
@@ -263,7 +350,7 @@ def _counts(pages: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], int
                     total.update(f"{a} {b}" for a, b in zip(words, words[1:]))
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["w", "n"])
 
-    counted = pages.where("text is not null").select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    counted = cut(pages.where("text is not null").select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
     whole = counted.where("instr(w, ' ') = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     kept = counted.where(F.col("n") >= max(LEAST_COUNT, SHARE * whole)).collect()
     words = {r.w: r.n for r in kept if " " not in r.w}
@@ -298,7 +385,7 @@ def analyse(pages: list[_Page], reader: Reader) -> list[tuple[int, int]]:
             continue
         first, last = (1 if (n, k) in joined else 0), len(tokens)
         if re.search(r"[^\W\d_][-¬\u00ad‐]\s*$", line):
-            follow = next(((m, j) for m, j in body[at + 1 : at + 8] if not re.search(r"\d\s*$", pages[m].lines[j]) or len(pages[m].lines[j]) > 50), None)
+            follow = next(((m, j) for m, j in islice(body, at + 1, None) if not re.search(r"\d\s*$", pages[m].lines[j]) or len(pages[m].lines[j]) > 50), None)
             right = TOKEN.match(pages[follow[0]].lines[follow[1]].lstrip()) if follow else None
             if right or not _SIGNS & set(tokens[-1]):
                 last -= 1  # what is cut can't be looked up
@@ -316,34 +403,57 @@ def analyse(pages: list[_Page], reader: Reader) -> list[tuple[int, int]]:
                         if not guess.endswith(r.lower()):
                             pages[follow[0]].noise[follow[1]].add("ocr")
         around = ["", *(t.lower() for t in tokens), ""]
-        if any(reader.misread(tokens[i], around[i], around[i + 2]) for i in range(first, last)):
+        if any(tokens[i] not in reader.fine and reader.misread(tokens[i], around[i], around[i + 2]) for i in range(first, last)):
             pages[n].noise[k].add("ocr")
     return body
 
 
-def _pages_of(group: pd.DataFrame) -> list[_Page]:
-    group = group.sort_values("page_id")
-    return [_Page(int(i), None if pd.isna(n) else int(n), t) for i, n, t in zip(group["page_id"], group["page_number"], group["text"])]
-
-
 def _files(pages: DataFrame) -> DataFrame:
     return pages.where("page_id is not null").select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("doc_path", F.concat(F.lit("page:"), F.col("page_id").cast("string"))).alias("doc_path"), F.col("page_number").cast("int").alias("page_number"), "text")
 
 
+def _by_file(pages: DataFrame, read: Callable[[str, list[_Page], Reader], list[tuple]], schema: str) -> DataFrame:
+    """read() of the pages of every file, in order of page_id; files are taken together up to BATCH characters."""
+    counts = _counts(pages)
+    shared = pages.sparkSession.sparkContext.broadcast(counts)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files: list[tuple[str, list[_Page]]] = []
+        held = 0
+
+        def done() -> pd.DataFrame:
+            reader = _reader(shared.value)
+            reader.prepare(x for _, f in files for p in f for x in p.lines)
+            return pd.DataFrame([x for path, f in files for x in read(path, f, reader)], columns=names)
+
+        for batch in batches:
+            for i, path, number, text in zip(batch["page_id"], batch["doc_path"], batch["page_number"], batch["text"]):
+                if not files or files[-1][0] != path:
+                    if held >= BATCH:
+                        yield done()
+                        files, held = [], 0
+                    files.append((path, []))
+                files[-1][1].append(_Page(int(i), None if pd.isna(number) else int(number), text))
+                held += len(text or "")
+        if files:
+            yield done()
+
+    return _files(pages).repartition("doc_path").sortWithinPartitions("doc_path", "page_id").mapInPandas(run, schema)
+
+
 def noise(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, noise): each line per kind of noise: header, pageno, hyphen, ocr; line_no counts from 1.
 
     Reads page_id, doc_path, page_number and text; other columns, metadata too, are not trusted. Blank and null texts
     give no rows. A null doc_path makes a file of its own; pages of a file are ordered by page_id.
     """
-    reader_of = _counts(pages)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        all_pages = _pages_of(group)
-        analyse(all_pages, _reader(reader_of))
-        return pd.DataFrame([(p.id, k + 1, kind) for p in all_pages for k, kinds in sorted(p.noise.items()) for kind in sorted(kinds)], columns=["page_id", "line_no", "noise"])
+    def read(_: str, file: list[_Page], reader: Reader) -> list[tuple]:
+        analyse(file, reader)
+        return [(p.id, k + 1, kind) for p in file for k, kinds in sorted(p.noise.items()) for kind in sorted(kinds)]
 
-    return _files(pages).groupBy("doc_path").applyInPandas(run, "page_id bigint, line_no int, noise string")
+    return _by_file(pages, read, "page_id bigint, line_no int, noise string")
 
 
 _readers: dict[int, tuple] = {}
@@ -374,10 +484,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     a blank line within a page; at a page's end it goes on unless a sentence ended there. Null and blank pages are
     passed by. A file is read as a whole, so its block is always 0.
     """
-    reader_of = _counts(pages)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        all_pages, reader = _pages_of(group), _reader(reader_of)
+    def read(path: str, all_pages: list[_Page], reader: Reader) -> list[tuple]:
         body = analyse(all_pages, reader)
         out: list[list] = []
         previous: tuple[int, int] | None = None
@@ -394,7 +501,6 @@ def paragraphs(pages: DataFrame) -> DataFrame:
             else:
                 out[-1][1] += ("" if out[-1][1].endswith("-") else " ") + line
             previous = n, k
-        path = group["doc_path"].iloc[0]
-        return pd.DataFrame([(path, 0, i, p, _repaired(t, reader)) for i, (p, t) in enumerate(out)], columns=["doc_path", "block", "paragraph", "first_page_id", "text"])
+        return [(path, 0, i, p, _repaired(t, reader)) for i, (p, t) in enumerate(out)]
 
-    return _files(pages).groupBy("doc_path").applyInPandas(run, "doc_path string, block bigint, paragraph int, first_page_id bigint, text string")
+    return _by_file(pages, read, "doc_path string, block bigint, paragraph int, first_page_id bigint, text string")

@@ -165,6 +165,25 @@ def test_trie_is_complete():
     for _ in range(50):
         w = "".join(random.choices("abcd", k=4))
         assert sorted(trie.within(w, 2)) == sorted((distance(w, v), v, 1) for v in known if distance(w, v) <= 2)
+    counted = scans.Trie({w: k for k, w in enumerate(sorted(known))})
+    asked = ["".join(random.choices("abcd", k=random.randint(1, 7))) for _ in range(80)]
+    least = np.array([random.choice([0, 50, 150.5]) for _ in asked])
+    for most in (1, 2, 3):
+        for w, low, places in zip(asked, least, counted.within_all(asked, most, least)):
+            assert sorted((counted.words[i], counted.counts[i]) for i in places) == sorted((v, n) for _, v, n in counted.within(w, most, low))
+    assert scans.Trie({}).within("a") == [] and scans.Trie({}).within_all(["a"], 2, np.zeros(1)) == [[]]
+
+
+def test_misread_words_come_from_the_trie(spark, monkeypatch):
+    """Without the automaton's candidates no misread word is found."""
+    lines = [f"the keeper of the library opens the window number {k} again" for k in range(40)] + ["the kceper of the librany opens the w1ndow again"]
+    table = spark.createDataFrame([(k, "a.pdf", k, "\n".join([x, "and the same keeper closes the library window again every night."])) for k, x in enumerate(lines)], "page_id long, doc_path string, page_number int, text string")
+    assert rows(scans.noise(table).where("noise = 'ocr'")) == [(40, 1, "ocr")]
+    words = {"the": 90, "keeper": 80, "library": 80, "window": 80, "again": 80}
+    reader = scans.Reader(words, {})
+    assert [reader.misread(w) for w in ("kceper", "librany", "w1ndow")] == ["keeper", "library", "window"]
+    monkeypatch.setattr(scans.Trie, "within", lambda *_: [])
+    assert [scans.Reader(words, {}).misread(w) for w in ("kceper", "librany", "w1ndow")] == [None] * 3
 
 
 # p6
