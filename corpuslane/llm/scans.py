@@ -151,6 +151,11 @@ def _confusion(read: str, meant: str, by_edit: float) -> float:
     while end < high - low and read[-1 - end] == meant[-1 - end]:
         end += 1
     read, meant = read[low : len(read) - end], meant[low : len(meant) - end]
+    if not read or not meant:
+        return by_edit ** (len(read) + len(meant))
+    if len(read) == len(meant) == 1:
+        return BY_CONFUSION if meant in CONFUSED.get(read, "") else BY_SIGN if read in _SIGNS else by_edit
+    groups = [x for x in GROUPS if x[0] in read and x[1] in meant]
     best = [[0.0] * (len(meant) + 1) for _ in range(len(read) + 1)]
     best[0][0] = 1.0
     for i in range(len(read) + 1):
@@ -163,7 +168,7 @@ def _confusion(read: str, meant: str, by_edit: float) -> float:
                 x = max(x, best[i - 1][j] * by_edit)
             if j:
                 x = max(x, best[i][j - 1] * by_edit)
-            for old, new in GROUPS:
+            for old, new in groups:
                 if len(old) <= i and len(new) <= j and read.endswith(old, 0, i) and meant.endswith(new, 0, j):
                     x = max(x, best[i - len(old)][j - len(new)] * BY_CONFUSION)
             best[i][j] = x
@@ -263,6 +268,7 @@ def _is_title(line: str, width: float) -> bool:
     return bool(x) and len(x) <= max(30, 0.8 * width) and len(re.findall(r"[^\W\d_]{2,}", x)) <= 8 and not re.search(r"[.!?:;,¬-]$|[.!?] [A-ZÀ-Þ]", x) and bool(re.match(r"[\"“(]?(?:\d+\s+|\W*)[^\W\d_a-zß-ÿ]", x)) and not re.match(r"\d+\.\d", x) and any(c.isalpha() for c in x)
 
 
+_OTHER = re.compile(r"[\W\d_]+")
 _DIGITS = str.maketrans("OoQIl|iSsBZz", "000111155822")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
@@ -283,7 +289,7 @@ def page_number(line: str) -> tuple[int, bool] | None:
 
 
 def _letters(line: str) -> str:
-    return "".join(c for c in line.lower() if c.isalpha())
+    return _OTHER.sub("", line.lower())
 
 
 def furniture(pages: list[tuple[int | None, list[str]]]) -> list[dict[int, str]]:
