@@ -7,7 +7,7 @@ then freed of its ending: closing formulas, names, rules, and paragraphs that re
 several senders', messages.
 
 Every message is compared with all earlier ones of its thread, and with the one that it replies to. In a thread of
-over 2 * BLOCK messages no automaton holds them all: their runs of LEAST_MATCH words are hashed and joined with the
+over MOST_CHARS characters no automaton holds them all: their runs of LEAST_MATCH words are hashed and joined with the
 earliest message that has each, which covers the same words.
 """
 
@@ -19,15 +19,23 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslane.session import cut
 
-BLOCK = 1000
+#: Characters of a thread that one task may hold, with an automaton over its words.
+MOST_CHARS = 1_500_000
+#: Rows (an id and a thread each) up to which the list of mails that other threads reply to is broadcast.
+MOST_BROADCAST = 200_000
+#: Non-blank lines after a rule that make it the beginning of an ending by themselves.
+FEW_LINES = 8
 #: Words that a match needs to be inherited text, and the share of a line's words that matches must cover.
 LEAST_MATCH, LEAST_COVER = 10, 0.6
 WORD = re.compile(r"[^\W_]+")
+_PLAIN, _DIGIT = re.compile(r"[^\W_]+(?:'[^\W_]+)?"), re.compile(r"\d")
 SUBJECT_MARK = r"(?i)^\s*(?:(?:re|fw|fwd|aw|wg|antw|sv|vs|tr|rv|rif|res|ref|enc|i|r)\s*(?:\[\d+\])?\s*:\s*|\[fwd?\]\s*)+"
 QUOTED = re.compile(r"^\s*(?:[>|]|[A-ZÀ-ÞČŠŽ]{2,3}>)")
 PREFIX = re.compile(r"^\s*(?:(?:[>|]|[A-ZÀ-ÞČŠŽ]{2,3}>)\s?)+")
@@ -195,104 +203,168 @@ def own_lines(lines: list[str], automaton: SuffixAutomaton | SeenRuns | None) ->
     return [o and not i for o, i in zip(own, inherited)]
 
 
-def _paragraphs(lines: list[str], own: list[bool]) -> list[list[int]]:
-    """Runs of own non-blank lines, as line numbers; a rule is a run of its own."""
-    out: list[list[int]] = []
+#: What `written` must know of a line, as bits.
+OWN, FILLED, CLOSING, NAME, RULED, STOPPED = 1, 2, 4, 8, 16, 32
+
+
+def facts(lines: list[str], own: list[bool], sender: str | None) -> bytes:
+    """A byte of the bits above for each line."""
+    names = _names(sender)
+    out = bytearray(len(lines))
     for k, x in enumerate(lines):
-        if not own[k] or not x.strip():
+        if not own[k]:
             continue
-        if out and out[-1][-1] == k - 1 and not RULE.match(x) and not RULE.match(lines[k - 1]):
+        stripped = x.strip()
+        if not stripped:
+            out[k] = OWN
+            continue
+        end = stripped[-1]
+        words = " ".join(_PLAIN.findall(x.lower())) if len(stripped) <= 60 else ""
+        out[k] = OWN | FILLED | (CLOSING if words in CLOSINGS and end not in ".?" else 0) | (NAME if _is_name(x, names) else 0) | (RULED if RULE.match(x) else 0) | (STOPPED if end in ".!?,:;-–—" else 0)
+    return bytes(out)
+
+
+def _paragraphs(flags: bytes, low: int, high: int) -> list[list[int]]:
+    """Runs of own non-blank lines between two lines, as line numbers; a rule is a run of its own."""
+    out: list[list[int]] = []
+    for k in range(low, high):
+        if flags[k] & (OWN | FILLED) != OWN | FILLED:
+            continue
+        if out and out[-1][-1] == k - 1 and not (flags[k] | flags[k - 1]) & RULED:
             out[-1].append(k)
         else:
             out.append([k])
     return out
 
 
-def _key(lines: list[str], paragraph: list[int]) -> str:
-    return " ".join(WORD.findall(re.sub(r"\d", "0", " ".join(lines[k] for k in paragraph)).lower()))
+def _key(lines: list[str]) -> int | None:
+    """A 63-bit value of the words of some lines, digits alike; None without words."""
+    words = " ".join(WORD.findall(_DIGIT.sub("0", " ".join(lines)).lower()))
+    return xxhash.xxh3_64_intdigest(words) >> 1 if words else None
 
 
-def _tail(lines: list[str], own: list[bool]) -> list[tuple[int, str]]:
-    """First line and key of what may belong to an ending: the last paragraphs, and unclosed last lines of runs."""
-    out = {p[0]: _key(lines, p) for p in _paragraphs(lines, own)[-8:]}
+def _tail(lines: list[str], flags: bytes) -> list[tuple[int, int]]:
+    """First line and key of what may belong to an ending: paragraphs, and unclosed last lines of runs."""
+    n = len(lines)
+    out = {p[0]: _key([lines[k] for k in p]) for p in _paragraphs(flags, 0, n)}
     for k, x in enumerate(lines):
-        if own[k] and (k + 1 == len(lines) or not own[k + 1] or not lines[k + 1].strip()) and not x.rstrip().endswith((".", ",", ":", "!", "?", ";")):
-            if len(key := _key(lines, [k])) and key.count(" ") >= 2:
-                out.setdefault(k, key)
-    return sorted(out.items())[-8:]
+        if k not in out and flags[k] & OWN and (k + 1 == n or not flags[k + 1] & OWN or not flags[k + 1] & FILLED) and not x.rstrip().endswith((".", ",", ":", "!", "?", ";")) and len(WORD.findall(x)) >= 3:
+            out[k] = _key([x])
+    return sorted((k, v) for k, v in out.items() if v is not None)
 
 
 def _names(sender: str | None) -> set[str]:
-    return set(WORD.findall(_fold((sender or "").split("@")[0].replace("<", " ")))) | set()
+    return set(WORD.findall(_fold((sender or "").split("@")[0].replace("<", " "))))
 
 
 def _is_name(line: str, names: set[str]) -> bool:
+    if len(line) > 100:
+        return False
     words = WORD.findall(_fold(line))
     return 0 < len(words) <= 4 and all(w in names for w in words)
 
 
-def written(lines: list[str], own: list[bool], sender: str | None, recurring: set[int]) -> list[int]:
-    """Numbers (from 1) of the non-blank own lines before the ending of each run of own lines."""
-    names, out, k, n = _names(sender), [], 0, len(lines)
+def written(flags: bytes, recurring: set[int]) -> list[int]:
+    """Numbers (from 1) of the non-blank own lines before the ending of each run of own lines.
+
+    flags are the facts of a mail's lines, recurring the first lines of paragraphs that recur at ends of mails. An ending
+    begins with a closing formula, a name, or a rule before a few lines, names or what recurs; paragraphs that recur
+    are taken off the end as long as there are any.
+    """
+    out, k, n = [], 0, len(flags)
     while k < n:
-        if not own[k]:
+        if not flags[k] & OWN:
             k += 1
             continue
         end = k
-        while end < n and own[end]:
+        while end < n and flags[end] & OWN:
             end += 1
         stop = end
         for i in range(k, end):
-            words = " ".join(re.findall(r"[^\W_]+(?:'[^\W_]+)?", lines[i].lower()))
-            after = [j for j in range(i + 1, end) if lines[j].strip()]
-            if len(after) <= 16 and (words in CLOSINGS and not lines[i].rstrip().endswith((".", "?")) or _is_name(lines[i], names) and i > k or RULE.match(lines[i]) and (not after or len(after) <= 12 and (len(after) <= 8 or i + 1 in recurring or any(_is_name(lines[j], names) for j in after)))):
+            if not flags[i] & (CLOSING | NAME | RULED):
+                continue
+            after = [j for j in range(i + 1, end) if flags[j] & FILLED]
+            rule = flags[i] & RULED and (len(after) <= FEW_LINES or i + 1 in recurring or any(flags[j] & NAME for j in after))
+            if flags[i] & CLOSING or flags[i] & NAME and i > k or rule:
                 stop = i
                 break
-        paragraphs = _paragraphs(lines[:stop], [k <= i < stop and own[i] for i in range(stop)])
-        while paragraphs and ((paragraphs[-1][0] in recurring and (len(paragraphs) > 1 or out)) or paragraphs[-1][-1] in recurring and not lines[paragraphs[-1][-1]].rstrip().endswith((".", "!", "?"))):
+        paragraphs = _paragraphs(flags, k, stop)
+        while paragraphs and ((paragraphs[-1][0] in recurring and (len(paragraphs) > 1 or out)) or paragraphs[-1][-1] in recurring and not flags[paragraphs[-1][-1]] & STOPPED):
             stop = paragraphs[-1].pop(0 if paragraphs[-1][0] in recurring else -1)
             paragraphs = [p for p in paragraphs if p and p[0] < stop]
-        out += [i + 1 for i in range(k, stop) if lines[i].strip()]
+        out += [i + 1 for i in range(k, stop) if flags[i] & FILLED]
         k = end
     return out
 
 
-def _ends(tail: list[tuple[int, str]]) -> tuple[list[int], list[str]]:
-    return [a for a, _ in tail], [b[:400] for _, b in tail]
+_OUT = "email_id bigint, thread string, message string, at double, target boolean, sender string, first boolean, flags binary, starts array<int>, keys array<bigint>, body string"
+_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string()]
+
 
+def _analysed(lines: list[str], automaton: SuffixAutomaton | SeenRuns | None, sender: str | None) -> tuple[bytes, list[int], list[int]]:
+    flags = facts(lines, own_lines(lines, automaton), sender)
+    tail = _tail(lines, flags)
+    return flags, [k for k, _ in tail], [v for _, v in tail]
 
-def _analyse(group: pd.DataFrame) -> pd.DataFrame:
-    """Own lines, and keys of the last own paragraphs, of the target messages of one thread."""
-    group = group.sort_values("email_id", kind="stable").reset_index(drop=True)
-    group["at"] = group["at"].ffill().fillna(0)
-    group = group.sort_values(["at", "email_id"], kind="stable")
-    automaton = SuffixAutomaton() if group["message"].nunique() > 1 else None
+
+def _thread(rows: list[tuple]) -> Iterator[tuple]:
+    """Facts of the target messages of one thread; rows (email_id, thread, message, at, target, sender, body) by email_id."""
+    at, filled = 0.0, []
+    for r in rows:
+        at = at if r[3] is None else r[3]
+        filled.append((at, r))
+    filled.sort(key=lambda x: (x[0], x[1][0]))
+    automaton = SuffixAutomaton() if len({r[2] for _, r in filled}) > 1 else None
     done: dict[str, tuple] = {}
-    out = []
-    for r in group.itertuples():
-        if r.message not in done:
-            lines = _lines(r.body)
-            own = own_lines(lines, automaton)
-            tail = _tail(lines, own)
-            done[r.message] = own, tail
+    for at, (i, thread, message, _, target, sender, body) in filled:
+        first = message not in done
+        if first:
+            lines = _lines(body)
+            done[message] = _analysed(lines, automaton, sender)
             if automaton is not None:
                 automaton.add(_words(lines))
-            first = True
-        else:
-            first = False
-        if r.target:
-            own, tail = done[r.message]
-            out.append((r.email_id, first, [k for k, o in enumerate(own) if o], *_ends(tail)))
-    return pd.DataFrame(out, columns=["email_id", "first", "own", "starts", "keys"])
+        if target:
+            yield i, None, None, at, True, sender, first, *done[message], None
+
+
+def _threads(rows: DataFrame) -> DataFrame:
+    """Facts of all target messages, thread by thread; the rows of threads of over MOST_CHARS characters as they are."""
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
+
+    def as_is(r: tuple) -> tuple:
+        return (*r[:6], None, None, None, None, r[6])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, chars, out = None, [], 0, []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[1] != now:
+                    out += _thread(held)
+                    now, held, chars = r[1], [], 0
+                chars += len(r[6])
+                held.append(r)
+                if chars > MOST_CHARS:
+                    out += map(as_is, held)
+                    held = []
+                if len(out) >= 5000:
+                    yield batch_of(out)
+                    out = []
+        yield batch_of(out + list(_thread(held)))
+
+    return rows.select("email_id", "thread", "message", "at", "target", "sender", "body").repartition("thread").sortWithinPartitions("thread", "email_id").mapInArrow(run, _OUT)
 
 
 def _large(rows: DataFrame) -> DataFrame:
-    """As _analyse, for threads of any size: rows has thread, target, email_id, message, at and body."""
+    """As _threads, for threads of any size."""
     filled = F.coalesce(F.last("at", ignorenulls=True).over(Window.partitionBy("thread").orderBy("email_id")), F.lit(0.0))
     place = F.row_number().over(Window.partitionBy("thread", "message").orderBy("at", "email_id"))
-    light = rows.select("thread", "message", "email_id", "at", "target").withColumn("at", filled).withColumn("place", place)
+    light = rows.select("thread", "message", "email_id", "at", "target", "sender").withColumn("at", filled).withColumn("place", place)
     light = cut(light)
-    firsts = light.where("place = 1").select("thread", "message", "email_id", "at").join(rows.select("thread", "message", "email_id", "body").distinct(), ["thread", "message", "email_id"])
+    firsts = light.where("place = 1").select("thread", "message", "email_id", "at").join(rows.select("thread", "message", "email_id", "sender", "body").distinct(), ["thread", "message", "email_id"])
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -306,18 +378,16 @@ def _large(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for t, m, b, s in zip(batch["thread"], batch["message"], batch["body"], batch["seen"]):
-                lines = _lines(b)
-                own = own_lines(lines, SeenRuns(t, set(s) if s is not None else set()))
-                out.append((t, m, [k for k, o in enumerate(own) if o], *_ends(_tail(lines, own))))
-            yield pd.DataFrame(out, columns=["thread", "message", "own", "starts", "keys"])
+            for t, m, x, b, s in zip(batch["thread"], batch["message"], batch["sender"], batch["body"], batch["seen"]):
+                out.append((t, m, *_analysed(_lines(b), SeenRuns(t, set(s) if s is not None else set()), x)))
+            yield pd.DataFrame(out, columns=["thread", "message", "flags", "starts", "keys"])
 
-    read = firsts.join(seen, ["thread", "message"], "left").select("thread", "message", "body", "seen").mapInPandas(run, "thread string, message string, own array<int>, starts array<int>, keys array<string>")
-    return light.where("target").join(read, ["thread", "message"]).select("email_id", (F.col("place") == 1).alias("first"), "own", "starts", "keys")
+    read = firsts.join(seen, ["thread", "message"], "left").select("thread", "message", "sender", "body", "seen").mapInPandas(run, "thread string, message string, flags binary, starts array<int>, keys array<bigint>")
+    return light.where("target").join(read, ["thread", "message"]).select("email_id", "sender", (F.col("place") == 1).alias("first"), "flags", "starts", "keys")
 
 
-def new_lines(emails: DataFrame, least_messages: int = 3, least_of_sender: int = 2) -> DataFrame:
-    """(email_id, line_no, line): the non-blank lines of body_text that the sender newly wrote; line_no counts from 1.
+def new_line_numbers(emails: DataFrame, least_messages: int = 3, least_of_sender: int = 2) -> DataFrame:
+    """(email_id, line_no): the non-blank lines of body_text that the sender newly wrote; line_no counts from 1.
 
     Reads email_id, message_id, subject, from_address, date, headers and body_text; other columns are ignored. Null
     and empty bodies give no rows. A message held twice counts under each email_id. Null dates are taken from the
@@ -335,34 +405,33 @@ def new_lines(emails: DataFrame, least_messages: int = 3, least_of_sender: int =
         F.unix_micros("date").cast("double").alias("at"),
         F.coalesce("body_text", F.lit("")).alias("body"),
     )
-    large = rows.groupBy("thread").agg(F.count("*").alias("n")).where(f"n > {2 * BLOCK}").select("thread", F.lit(True).alias("large"))
-    fields = ["email_id", "message", "at", "body"]
-    here = rows.select("thread", F.lit(True).alias("target"), *fields)
-    parents = rows.select(F.col("message").alias("parent"), F.col("thread").alias("from"), *fields)
-    replies = rows.where("parent is not null").select("parent", "thread").distinct()
-    asked = parents.join(replies, "parent").where("from <> thread").select("thread", F.lit(False).alias("target"), *fields)
-    every = here.unionByName(asked).join(large, "thread", "left")
-    schema = "email_id bigint, first boolean, own array<int>, starts array<int>, keys array<string>"
-    small = every.where("large is null").groupBy("thread").applyInPandas(_analyse, schema)
-    analysed = cut(small.unionByName(_large(every.where("large"))))
-    senders = rows.select("email_id", "sender", "body")
-    tails = analysed.join(senders.select("email_id", "sender"), "email_id").select("email_id", "first", "sender", F.explode(F.arrays_zip("starts", "keys")).alias("p")).select("email_id", "first", "sender", "p.starts", "p.keys").where("keys <> ''")
+    fields = ["email_id", "message", "at", "sender", "body"]
+    light = rows.select("email_id", "message", "thread", "parent")
+    replies = light.where("parent is not null").select(F.col("parent").alias("message"), F.col("thread").alias("of")).distinct()
+    asked = cut(light.drop("parent").join(replies, "message").where("of <> thread").select("email_id", "of"))
+    small = asked.count() <= MOST_BROADCAST
+    parents = rows.join(F.broadcast(asked) if small else asked, "email_id").select(F.col("of").alias("thread"), F.lit(False).alias("target"), *fields)
+    every = rows.select("thread", F.lit(True).alias("target"), *fields).unionByName(parents)
+    analysed = cut(_threads(every))
+    kept = ["email_id", "sender", "first", "flags", "starts", "keys"]
+    large = analysed.where("flags is null")
+    analysed = analysed.where("flags is not null").select(*kept) if large.isEmpty() else cut(analysed.where("flags is not null").select(*kept).unionByName(_large(large).select(*kept)))
+    tails = analysed.select("email_id", "first", "sender", F.explode(F.arrays_zip("starts", "keys")).alias("p")).select("email_id", "first", "sender", "p.starts", "p.keys")
     by_sender = tails.where("first").groupBy("keys", "sender").agg(F.count("*").alias("n"))
-    of_all = by_sender.groupBy("keys").agg(F.sum("n").alias("total")).where(f"total >= {least_messages}")
-    often = tails.join(by_sender.where(f"n >= {least_of_sender}").select("keys", "sender", F.lit(True).alias("s")), ["keys", "sender"], "left").join(of_all.select("keys", F.lit(True).alias("g")), "keys", "left").where("s or g")
-    recurring = often.groupBy("email_id").agg(F.collect_set("starts").alias("recurring"))  # at most 8 of each message
+    of_all = by_sender.groupBy("keys").agg(F.sum("n").alias("total"))
+    often = by_sender.join(of_all, "keys").where(f"n >= {least_of_sender} or total >= {least_messages}").select(F.col("keys").alias("key"), F.col("sender").alias("by"))
+    known = tails.join(often, (F.col("keys") == F.col("key")) & F.col("sender").eqNullSafe(F.col("by")), "left_semi")
+    recurring = known.groupBy("email_id").agg(F.collect_set("starts").alias("recurring"))
 
     @F.pandas_udf("array<int>")
-    def numbers(body: pd.Series, own: pd.Series, sender: pd.Series, again: pd.Series) -> pd.Series:
-        out = []
-        for b, o, s, a in zip(body, own, sender, again):
-            lines = _lines(b)
-            flags = [False] * len(lines)
-            for k in o:
-                flags[k] = True
-            out.append(written(lines, flags, s, set(a) if a is not None else set()))
-        return pd.Series(out)
-
-    joined = senders.join(analysed.select("email_id", "own"), "email_id").join(recurring, "email_id", "left")
-    found = joined.select("email_id", F.split("body", "\n").alias("lines"), F.explode(numbers("body", "own", "sender", "recurring")).alias("line_no"))
+    def numbers(flags: pd.Series, again: pd.Series) -> pd.Series:
+        return pd.Series([written(f, set(a) if a is not None else set()) for f, a in zip(flags, again)])
+
+    return analysed.select("email_id", "flags").join(recurring, "email_id", "left").select("email_id", F.explode(numbers("flags", "recurring")).alias("line_no"))
+
+
+def new_lines(emails: DataFrame, **options) -> DataFrame:
+    """(email_id, line_no, line): the lines of new_line_numbers with their text."""
+    bodies = emails.select(F.col("email_id").cast("bigint").alias("email_id"), F.split("body_text", "\n").alias("lines"))
+    found = new_line_numbers(emails, **options).join(bodies, "email_id")
     return found.select("email_id", "line_no", F.regexp_replace(F.element_at("lines", F.col("line_no")), "\r$", "").alias("line"))

@@ -13,7 +13,7 @@ from corpuslane.session import read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return emails.new_lines(read(spark, d, "parsed_emails")).select("email_id", "line_no")
+    return emails.new_line_numbers(read(spark, d, "parsed_emails"))
 
 
 def p1_bodies(spark: SparkSession, d: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_large_thread_sees_all_earlier_mails(spark, monkeypatch):
     table = spark.createDataFrame([(k * k, f"m{k}", "Hot", f"a{k}@x.example", None, None, b) for k, b in enumerate([*bodies, bodies[30]])], MAIL).withColumn("date", F.expr("timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,cast(email_id as int))"))
     whole = rows(emails.new_lines(table).select("email_id", "line_no"))
     assert (3600, 1) in whole and not {(3600, 3), (3600, 4), (3721, 1)} & set(whole)
-    monkeypatch.setattr(emails, "BLOCK", 10)
+    monkeypatch.setattr(emails, "MOST_CHARS", 400)
     assert rows(emails.new_lines(table).select("email_id", "line_no")) == whole
 
 

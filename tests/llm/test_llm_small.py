@@ -284,7 +284,7 @@ def test_languages(spark):
 
 
 def test_hot_thread_is_split(spark, monkeypatch):
-    monkeypatch.setattr(emails, "BLOCK", 10)
+    monkeypatch.setattr(emails, "MOST_CHARS", 400)
     text = [f"Body {' '.join(random.choices(VOCABULARY, k=20))} ends here." for _ in range(60)]
     items = [(k, f"m{k}", "Hot", f"a{k % 5}@x.example", {"In-Reply-To": f"m{k - 1}"} if k % 2 else None, f"Reply number {k} is new.\n\n{text[k - 1]}" if k % 2 else text[k]) for k in range(60)]
     assert rows(emails.new_lines(mail(spark, *items)).select("email_id", "line_no")) == [(k, 1) for k in range(60)]
