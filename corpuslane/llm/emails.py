@@ -258,7 +258,7 @@ def _names(sender: str | None) -> set[str]:
 
 
 def _is_name(line: str, names: set[str]) -> bool:
-    if len(line) > 100:
+    if not names or len(line) > 100 or line.count(" ") > 12:
         return False
     words = WORD.findall(_fold(line))
     return 0 < len(words) <= 4 and all(w in names for w in words)
@@ -315,14 +315,15 @@ def _thread(rows: list[tuple]) -> Iterator[tuple]:
         at = at if r[3] is None else r[3]
         filled.append((at, r))
     filled.sort(key=lambda x: (x[0], x[1][0]))
-    automaton = SuffixAutomaton() if len({r[2] for _, r in filled}) > 1 else None
+    messages = len({r[2] for _, r in filled})
+    automaton = SuffixAutomaton() if messages > 1 else None
     done: dict[str, tuple] = {}
     for at, (i, thread, message, _, target, sender, body) in filled:
         first = message not in done
         if first:
             lines = _lines(body)
             done[message] = _analysed(lines, automaton, sender)
-            if automaton is not None:
+            if len(done) < messages:
                 automaton.add(_words(lines))
         if target:
             yield i, None, None, at, True, sender, first, *done[message], None
