@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions.text import strip
 
+#: Elements that begin a line (fixed values).
 _CORE_BREAKS, _WEB_BREAKS = "p|div|br|h[1-6]|li|tr", "p|div|br|h[1-6]|li|tr|section|article"
 #: Entities, decoded in this order (fixed values).
 _CORE_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 _WEB_ENTITIES = (*_CORE_ENTITIES, ("&#39;", "'"), ("&apos;", "'"))
 
+#: Patterns of page parts (fixed values).
+BLANK_LINES = r"\n\s*\n"
+TITLE, HEADING = r"(?is)<title[^>]*>(.*?)</title>", r"(?is)<h1[^>]*>(.*?)</h1>"
+META = r"""(?i)<meta\s+[^>]*(?:{attribute})=["'](?:{name})["'][^>]*content=["']([^"']*)["']"""
+LINK, NO_LINK = r"""(?i)<a\s+[^>]*href=["']([^"'#]+)["']""", r"^(?:javascript:|mailto:|tel:)"
+IMAGE, NO_IMAGE = r"""(?i)<img\s+[^>]*src=["']([^"']+)["']""", r"^data:"
+
 
 def _to_text(html: Column, dropped: str, comments: bool, breaks: str, entities: tuple) -> Column:
     t = F.coalesce(html, F.lit(""))
@@ -28,33 +36,35 @@ def _to_text(html: Column, dropped: str, comments: bool, breaks: str, entities:
 
 def extract_html(html: Column) -> Column:
     """Text of a page; blank lines are run together. Null gives ''."""
-    return strip(F.regexp_replace(_to_text(html, "script style", True, _CORE_BREAKS, _CORE_ENTITIES), r"\n\s*\n", "\n\n"))
+    return strip(F.regexp_replace(_to_text(html, "script style", True, _CORE_BREAKS, _CORE_ENTITIES), BLANK_LINES, "\n\n"))
 
 
 def web_clean_html(html: Column) -> Column:
-    """Text of a scraped page: more elements dropped and broken at, more entities, at most one blank line."""
-    return strip(F.regexp_replace(_to_text(html, "script style noscript", True, _WEB_BREAKS, _WEB_ENTITIES), r"\n{3,}", "\n\n"))
+    """Text of a scraped page: more elements dropped and broken at, more entities; blank lines are run together."""
+    return strip(F.regexp_replace(F.regexp_replace(_to_text(html, "script style noscript", True, _WEB_BREAKS, _WEB_ENTITIES), BLANK_LINES, "\n\n"), r"\n{3,}", "\n\n"))
 
 
 def email_html_to_text(html: Column) -> Column:
-    return strip(F.regexp_replace(_to_text(html, "script style", False, _CORE_BREAKS, _CORE_ENTITIES), r"\n\s*\n", "\n\n"))
+    return strip(F.regexp_replace(_to_text(html, "script style", False, _CORE_BREAKS, _CORE_ENTITIES), BLANK_LINES, "\n\n"))
 
 
 def html_title(html: Column) -> Column:
     """Text of the first title element, without tags inside it; '' where there is none."""
-    return strip(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", ""))
+    return strip(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), TITLE, 1), r"<[^>]+>", ""))
 
 
 def web_title(html: Column) -> Column:
     """The title element, else the first h1 element; an empty title still counts."""
     h = F.coalesce(html, F.lit(""))
-    title, h1 = r"(?is)<title[^>]*>(.*?)</title>", r"(?is)<h1[^>]*>(.*?)</h1>"
-    return web_clean_html(F.when(h.rlike(title), F.regexp_extract(h, title, 1)).otherwise(F.regexp_extract(h, h1, 1)))
+    return web_clean_html(F.when(h.rlike(TITLE), F.regexp_extract(h, TITLE, 1)).otherwise(F.regexp_extract(h, HEADING, 1)))
+
 
+def meta(html: Column, name: str, attribute: str = "name") -> Column:
+    """Content of a meta element whose attribute (a pattern: name, property or both) comes before its content, stripped.
 
-def meta(html: Column, name: str) -> Column:
-    """Content of a meta element whose name or property comes before its content; null where there is none."""
-    found = F.regexp_extract(F.coalesce(html, F.lit("")), rf"""(?i)<meta\s+[^>]*(?:name|property)=["'](?:{name})["'][^>]*content=["']([^"']*)["']""", 1)
+    Null where there is none, or an empty one.
+    """
+    found = strip(F.regexp_extract(F.coalesce(html, F.lit("")), META.format(attribute=attribute, name=name), 1))
     return F.when(found == "", None).otherwise(found)
 
 
@@ -77,8 +87,8 @@ def _values(html: Column, pattern: str, bad: str, base: Column) -> Column:
 
 def links(html: Column, base: Column) -> Column:
     """Sorted distinct targets of links, made absolute; without fragments, scripts, mail and telephone links."""
-    return _values(html, r"""(?i)<a\s+[^>]*href=["']([^"'#]+)["']""", r"^(?:javascript:|mailto:|tel:)", base)
+    return _values(html, LINK, NO_LINK, base)
 
 
 def images(html: Column, base: Column) -> Column:
-    return _values(html, r"""(?i)<img\s+[^>]*src=["']([^"']+)["']""", r"^data:", base)
+    return _values(html, IMAGE, NO_IMAGE, base)

@@ -78,12 +78,12 @@ for _name, _f, _sql in (("extract_html", H.extract_html, O.extract_html("html"))
 
 
 @query(f"""WITH v(id, html) AS (SELECT url_id, html FROM url_contents UNION ALL VALUES {O.META_ROWS})
-    SELECT id, {O.meta('description|og:description')} AS description, {O.meta('author')} AS author, {O.meta('keywords')} AS keywords, {O.meta('og:image')} AS image FROM v""")
+    SELECT id, {O.meta('description|og:description', 'name|property')} AS description, {O.meta('author')} AS author, {O.meta('keywords')} AS keywords, {O.meta('og:image', 'property')} AS image FROM v""")
 def web_meta(spark, d):
     extra = spark.createDataFrame(O.meta_rows(), "id bigint, html string")
     h = F.col("html")
     rows = read(spark, d, "url_contents").select(F.col("url_id").alias("id"), "html").unionByName(extra)
-    return rows.select("id", H.meta(h, "description|og:description").alias("description"), H.meta(h, "author").alias("author"), H.meta(h, "keywords").alias("keywords"), H.meta(h, "og:image").alias("image"))
+    return rows.select("id", H.meta(h, "description|og:description", "name|property").alias("description"), H.meta(h, "author").alias("author"), H.meta(h, "keywords").alias("keywords"), H.meta(h, "og:image", "property").alias("image"))
 
 
 @query(O.links("href", "a", r'''"''' + "'#", "^(?:javascript:|mailto:|tel:)"))
@@ -117,7 +117,7 @@ def email_full_text(spark, d):
 # chunkers
 for _name, _method in (("chunk_sentences", "sentences"), ("chunk_sentence_kit", "sentences_kit"), ("chunk_char", "characters"), ("chunk_char_core", "breaks"), ("chunk_recursive", "recursive")):
     QUERIES[_name] = lambda s, d, m=_method: chunkers.chunked(read(s, d, "documents"), m)
-SQL["chunk_char"], SQL["chunk_char_core"] = O.CHUNK_CHAR, O.CHUNK_CORE
+SQL |= {"chunk_char": O.CHUNK_CHAR, "chunk_char_core": O.CHUNK_CORE, "chunk_sentences": O.CHUNK_SENTENCES, "chunk_sentence_kit": O.CHUNK_SENTENCE_KIT}
 
 
 @query("""WITH p AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
@@ -152,7 +152,8 @@ def list_documents_page(spark, d):
 def get_document(spark, d):
     chunks = read(spark, d, "chunks")
     wanted = chunks.agg(F.min("doc_id").alias("doc_id"))
-    return table.list_documents(chunks).join(F.broadcast(wanted), "doc_id", "left_semi")
+    paths = chunks.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_path").distinct()
+    return table.list_documents(chunks.join(F.broadcast(paths), "doc_path", "left_semi")).join(F.broadcast(wanted), "doc_id", "left_semi")
 
 
 @query("SELECT doc_id, chunk_id, text FROM chunks WHERE coalesce(doc_id, metadata['doc_id']) = (SELECT min(doc_id) FROM chunks)")
@@ -162,10 +163,12 @@ def doc_chunks(spark, d):
     return table.doc_chunks(chunks.crossJoin(F.broadcast(first)), F.col("wanted"))
 
 
-@query("SELECT row_id, chunk_id, text FROM chunks WHERE doc_id = (SELECT min(doc_id) FROM chunks) ORDER BY chunk_id, row_id LIMIT 20 OFFSET 20")
+@query("SELECT row_id, chunk_id, text FROM chunks WHERE doc_id = (SELECT doc_id FROM chunks GROUP BY doc_id ORDER BY count(*) DESC, doc_id LIMIT 1) ORDER BY chunk_id, row_id LIMIT 20 OFFSET 20")
 def doc_chunks_page(spark, d):
+    """Page 2 of the document with the most chunks."""
     chunks = read(spark, d, "chunks")
-    own = chunks.join(F.broadcast(chunks.agg(F.min("doc_id").alias("doc_id"))), "doc_id", "left_semi")
+    largest = chunks.groupBy("doc_id").count().agg(F.min_by("doc_id", F.struct(-F.col("count"), "doc_id")).alias("doc_id"))
+    own = chunks.join(F.broadcast(largest), "doc_id", "left_semi")
     return table.page(own, [F.asc("chunk_id"), F.asc("row_id")], 2, 20).select("row_id", "chunk_id", "text")
 
 
@@ -189,16 +192,16 @@ def delete_document(spark, d):
     g AS (SELECT *, min(doc_id) FILTER (WHERE good) OVER (PARTITION BY t) AS first, {O.normalize('t')} AS clean FROM f)
     SELECT doc_id, filename, substring(sha256(t), 1, 16) AS content_id, CASE WHEN NOT good THEN 'error' WHEN doc_id <> first OR clean = '' THEN 'skipped' ELSE 'success' END AS status, CASE WHEN good AND doc_id = first AND clean <> '' THEN length(clean) ELSE 0 END::BIGINT AS chars FROM g""")
 def ingest_status(spark, d):
-    """The ingestion report without its chunk counts, which SQL cannot give."""
+    """The ingestion report without messages and chunk counts."""
     return table.ingest_report(read(spark, d, "documents")).select("doc_id", "filename", "content_id", "status", "chars")
 
 
-@query()
+@query(O.INGEST_REPORT)
 def ingest_report(spark, d):
     return table.ingest_report(read(spark, d, "documents"))
 
 
-@query()
+@query(O.INGEST_SUMMARY)
 def ingest_summary(spark, d):
     return table.ingest_summary(table.ingest_report(read(spark, d, "documents")))
 
@@ -394,7 +397,14 @@ def rate_limit_log(spark, d):
 
 
 # code
-_documents("code_language", code_symbols.language, O.language("path"), "code_files", "file_id", "path", "lang")
+@query(O.CODE_LANGUAGE)
+def code_language(spark, d):
+    return read(spark, d, "code_files").select("file_id", code_symbols.language(F.col("path")).alias("lang"))
+
+
+@query(O.CODE_FILE)
+def code_file(spark, d):
+    return code_symbols.files_read(read(spark, d, "code_files"))
 
 
 @query(O.IMPORTS)
@@ -404,7 +414,8 @@ def code_imports(spark, d):
 
 @query(O.PYTHON)
 def code_symbols_python(spark, d):
-    return code_symbols.python_symbols(read(spark, d, "code_files")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    found = code_symbols.python_symbols(read(spark, d, "code_files"))
+    return found.select("file_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("line_end").cast("bigint").alias("line_end"), "name", "kind", "signature", "docstring", "parent")
 
 
 def _symbols(spark, d, *langs):
@@ -412,24 +423,27 @@ def _symbols(spark, d, *langs):
     return code_symbols.symbols(rows).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-for _name, _lang in (("js", "javascript"), ("go", "go"), ("rust", "rust"), ("java", "java")):
-    QUERIES[f"code_symbols_{_name}"] = lambda s, d, lang=_lang: _symbols(s, d, lang)
-    SQL[f"code_symbols_{_name}"] = O.symbols(_lang, code_symbols.PATTERNS[_lang])
+for _name, _langs in (("js", ("javascript", "typescript")), ("go", ("go",)), ("rust", ("rust",)), ("java", ("java",))):
+    QUERIES[f"code_symbols_{_name}"] = lambda s, d, langs=_langs: _symbols(s, d, *langs)
+    SQL[f"code_symbols_{_name}"] = O.symbols(_langs[0])
 
 
-@query(O.symbols(None, code_symbols.PATTERNS["generic"]))
+@query(O.GENERIC)
 def code_symbols_generic(spark, d):
     """The generic patterns over every file, as for a language without its own."""
-    rows = code_symbols.lines(read(spark, d, "code_files"))
-    s = F.coalesce(*[F.when(F.col("line").rlike(p), F.struct(F.regexp_extract("line", p, g).alias("name"), F.lit(k).alias("kind"))) for p, g, k in code_symbols.PATTERNS["generic"]])
-    return rows.withColumn("s", s).where("s is not null").select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "s.name", "s.kind", F.substring(F.trim("line"), 1, 80).alias("signature"))
+    return code_symbols.symbols(read(spark, d, "code_files"), "generic").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-@query(O.summary())
+@query(O.SUMMARY)
 def code_summary(spark, d):
     return code_symbols.summary(read(spark, d, "code_files"))
 
 
+@query(O.SEARCHABLE)
+def code_searchable(spark, d):
+    return code_symbols.searchable(read(spark, d, "code_files"))
+
+
 # request log
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def request_counts(spark, d):

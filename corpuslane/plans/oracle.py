@@ -94,7 +94,7 @@ def email_html(html: str) -> str:
 
 
 def web_clean(html: str) -> str:
-    return strip(rx(_to_text(html, "script style noscript", True, "web", [*_ENTITIES, ("&#39;", "'"), ("&apos;", "'")]), r"\n{3,}", "\n\n"))
+    return strip(rx(rx(_to_text(html, "script style noscript", True, "web", [*_ENTITIES, ("&#39;", "'"), ("&apos;", "'")]), r"\n[\s\x0b]*\n", "\n\n"), r"\n{3,}", "\n\n"))
 
 
 def html_title(html: str) -> str:
@@ -107,9 +107,9 @@ def web_title(html: str) -> str:
     return web_clean(f"CASE WHEN regexp_matches({h}, '{title}') THEN regexp_extract({h}, '{title}', 1) ELSE regexp_extract({h}, '{h1}', 1) END")
 
 
-def meta(name: str) -> str:
-    pattern = rf"""(?i)<meta\s+[^>]*(?:name|property)=["'](?:{name})["'][^>]*content=["']([^"']*)["']"""
-    return f"nullif(regexp_extract(coalesce(html, ''), {q(pattern)}, 1), '')"
+def meta(name: str, attribute: str = "name") -> str:
+    pattern = rf"""(?i)<meta\s+[^>]*(?:{attribute})=["'](?:{name})["'][^>]*content=["']([^"']*)["']"""
+    return f"nullif(trim(regexp_extract(coalesce(html, ''), {q(pattern)}, 1), ' ' || chr(9) || chr(10) || chr(13)), '')"
 
 
 def meta_rows() -> list[tuple[int, str]]:
@@ -118,6 +118,8 @@ def meta_rows() -> list[tuple[int, str]]:
         (-1, '<meta name="description" content="A page"><meta name="author" content="An author">'),
         (-2, '<META property="og:description" content="Shared"><meta property="og:image" content="/i.png">'),
         (-3, '<meta content="first" name="description"><meta name="keywords" content="">'),
+        (-4, '<meta property="author" content="No author"><meta name="og:image" content="no.png"><meta property="keywords" content="none">'),
+        (-5, '<meta property="description" content=" Blanks around "><meta name="og:description" content="second">'),
     ]
 
 
@@ -210,40 +212,85 @@ EVAL_SINGLE = f"WITH {_RUNS} " + " UNION ALL ".join([f"SELECT qid, '{m}' AS metr
 TURNS = "WITH turns AS (SELECT from_address AS conv_id, row_number() OVER (PARTITION BY from_address ORDER BY email_id) AS turn, CASE WHEN row_number() OVER (PARTITION BY from_address ORDER BY email_id) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, coalesce(subject, '') AS text FROM parsed_emails WHERE from_address IS NOT NULL)"
 
 
-def language(path: str) -> str:
-    from corpuslane.operators.code_symbols import LANGUAGES
-
-    ext = f"lower(regexp_extract(regexp_extract({path}, '[^/]*$', 0), '[^.](\\.[^.]+)$', 1))"
-    return f"CASE {ext} " + " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in LANGUAGES.items()) + " ELSE 'unknown' END"
-
-
-CODE_LINES = f"""lines AS (SELECT file_id, lang, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM
-    (SELECT file_id, {language('path')} AS lang, string_split({rx("coalesce(content, '')", chr(13) + chr(10) + '?', chr(10))}, chr(10)) AS l FROM code_files))"""
-IMPORTS = f"""WITH {CODE_LINES},
-go AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^import\\s+\\(') OR regexp_matches(line, '^import\\(') THEN true WHEN regexp_matches(line, '^\\)') THEN false END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM lines WHERE lang = 'go')
-SELECT file_id, line_no, trim(line) AS import FROM lines WHERE (lang = 'python' AND regexp_matches(trim(line), '^(?:import|from)\\s')) OR (lang IN ('javascript', 'java') AND regexp_matches(trim(line), '^import\\s')) OR (lang = 'rust' AND regexp_matches(trim(line), '^use\\s'))
-UNION ALL SELECT file_id, line_no, {rx('line', '^import[ \t]+|"', '')} FROM go WHERE (inside AND trim(line) <> '' AND NOT regexp_matches(line, '^\\)')) OR regexp_matches(line, '^import\\s+"')"""
-PYTHON = f"""WITH {CODE_LINES},
-p AS (SELECT file_id, line_no, line, regexp_extract(line, '^class\\s+(\\w+)', 1) AS c, regexp_extract(line, '^\\s*def\\s+(\\w+)\\s*\\([^)]*\\).*:', 1) AS f FROM lines WHERE lang = 'python'),
-a AS (SELECT *, last_value(nullif(c, '') IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no) AS parent FROM p),
-m AS (SELECT *, f <> '' AND regexp_matches(line, '^\\s+') AND parent IS NOT NULL AS method FROM a WHERE c <> '' OR f <> '')
-SELECT file_id, line_no, CASE WHEN c <> '' THEN c ELSE f END AS name, CASE WHEN c <> '' THEN 'class' WHEN method THEN 'method' ELSE 'function' END AS kind, trim(line) AS signature, CASE WHEN method THEN parent END AS parent FROM m"""
-
-
-def symbols(lang: str | None, patterns: list[tuple[str, int, str]]) -> str:
-    name = " ".join(f"WHEN regexp_matches(line, {q(p)}) THEN regexp_extract(line, {q(p)}, {g})" for p, g, _ in patterns)
-    kind = " ".join(f"WHEN regexp_matches(line, {q(p)}) THEN '{k}'" for p, _, k in patterns)
-    where = f"WHERE lang = '{lang}'" if lang else ""
-    return f"WITH {CODE_LINES}, s AS (SELECT file_id, line_no, CASE {name} END AS name, CASE {kind} END AS kind, substring(trim(line), 1, 80) AS signature FROM lines {where}) SELECT * FROM s WHERE kind IS NOT NULL"
+# Source files. Nothing here is taken from the operators: languages, patterns and forms are written out again.
+_BY_EXTENSION = """('py','python'),('pyi','python'),('js','javascript'),('jsx','javascript'),('ts','typescript'),('tsx','typescript'),('go','go'),('rs','rust'),('java','java'),('c','c'),('h','c'),('cpp','cpp'),('hpp','cpp'),('cc','cpp'),('cxx','cpp'),
+('rb','ruby'),('php','php'),('swift','swift'),('kt','kotlin'),('scala','scala'),('r','r'),('sql','sql'),('sh','shell'),('bash','shell'),('zsh','shell'),('yaml','yaml'),('yml','yaml'),('json','json'),('md','markdown'),('html','html'),('css','css'),('scss','scss')"""
+CODE = f"""langs(e, l) AS (VALUES {_BY_EXTENSION}),
+code AS (SELECT file_id, path, coalesce(l, 'unknown') AS lang, {rx("coalesce(content, '')", chr(13) + chr(10) + '?', chr(10))} AS content FROM code_files LEFT JOIN langs ON e = lower(regexp_extract(path, '[^./]\\.([^./]+)$', 1))),
+lists AS (SELECT file_id, path, lang, string_split(content, chr(10)) AS l, content FROM code WHERE strlen(content) <= 1048576),
+lines AS (SELECT file_id, lang, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM lists)"""
+CODE_LANGUAGE = f"WITH {CODE} SELECT file_id, lang FROM code"
+CODE_FILE = f"WITH {CODE} SELECT file_id, path, lang AS language, CASE WHEN strlen(content) <= 1048576 THEN length(content) - length(replace(content, chr(10), '')) + 1 END::BIGINT AS lines, strlen(content)::BIGINT AS size_bytes, CASE WHEN strlen(content) > 1048576 THEN 'File too large: ' || strlen(content) || ' bytes' END AS error FROM code"
+_IMPORTS = """st AS (SELECT file_id, lang, line_no, trim(line, ' ' || chr(9)) AS t FROM lines),
+g AS (SELECT *, coalesce((SELECT arg_max(o.t <> ')', o.line_no) FROM st o WHERE o.file_id = st.file_id AND o.line_no < st.line_no AND (o.t = ')' OR starts_with(o.t, 'import ('))), false) AS inside FROM st WHERE lang = 'go'),
+imported AS (SELECT file_id, line_no, CASE lang WHEN 'java' THEN rtrim(replace(t, 'import ', ''), ';') ELSE t END AS import FROM st
+    WHERE (lang = 'python' AND (starts_with(t, 'import ') OR starts_with(t, 'from '))) OR (lang IN ('javascript', 'typescript') AND (starts_with(t, 'import ') OR starts_with(t, 'require('))) OR (lang = 'rust' AND starts_with(t, 'use ')) OR (lang = 'java' AND starts_with(t, 'import '))
+    UNION ALL SELECT file_id, line_no, trim(CASE WHEN inside THEN t ELSE replace(t, 'import ', '') END, '"') FROM g WHERE NOT starts_with(t, 'import (') AND CASE WHEN inside THEN t NOT IN (')', '') ELSE starts_with(t, 'import ') END)"""
+IMPORTS = f"WITH {CODE}, {_IMPORTS} SELECT file_id, line_no, import FROM imported"
+
+
+def _first(*patterns: str) -> str:
+    """Name and arguments by the first pattern that a line matches, as a list; null if none does."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(line, {q(p)}) THEN [regexp_extract(line, {q(p)}, 1), {'regexp_extract(line, ' + q(p) + ', 2)' if p.count('(') - p.count('(?') - 2 * p.count('[(') - p.count(chr(92) + '(') > 1 else chr(39) * 2}]" for p in patterns) + " END"
+
+
+_FUNCTIONS = {
+    "javascript": _first(r"function\s+(\w+)\s*\(([^)]*)\)", r"const\s+(\w+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>", r"(\w+)\s*:\s*(?:async\s*)?function\s*\(([^)]*)\)"),
+    "go": _first(r"func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(([^)]*)\)"),
+    "rust": _first(r"fn\s+(\w+)(?:<[^>]+>)?\s*\(([^)]*)\)"),
+    "java": _first(r"(?:public|private|protected)?\s*(?:static\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\(([^)]*)\)"),
+}
+_TYPE = "regexp_extract(line, '{0}\\s+(\\w+)', 1)"
+_PLAIN_SYMBOLS = {
+    "javascript": f"SELECT file_id, line_no, 0 AS place, f[1] AS name, 'function' AS kind, f[1] || '(' || f[2] || ')' AS signature FROM (SELECT *, {_FUNCTIONS['javascript']} AS f FROM lines WHERE lang IN ('javascript', 'typescript')) WHERE f IS NOT NULL UNION ALL SELECT file_id, line_no, 1, c, 'class', 'class ' || c FROM (SELECT *, {_TYPE.format('class')} AS c FROM lines WHERE lang IN ('javascript', 'typescript')) WHERE c <> ''",
+    "go": f"SELECT file_id, line_no, 0 AS place, f[1] AS name, 'function' AS kind, 'func ' || f[1] || '(' || f[2] || ')' AS signature FROM (SELECT *, {_FUNCTIONS['go']} AS f FROM lines WHERE lang = 'go') WHERE f IS NOT NULL UNION ALL SELECT file_id, line_no, 1, t, k, 'type ' || t || ' ' || k FROM (SELECT *, regexp_extract(line, 'type\\s+(\\w+)\\s+(?:struct|interface)', 1) AS t, regexp_extract(line, 'type\\s+\\w+\\s+(struct|interface)', 1) AS k FROM lines WHERE lang = 'go') WHERE t <> ''",
+    "rust": f"SELECT file_id, line_no, 0 AS place, f[1] AS name, 'function' AS kind, 'fn ' || f[1] || '(' || f[2] || ')' AS signature FROM (SELECT *, {_FUNCTIONS['rust']} AS f FROM lines WHERE lang = 'rust') WHERE f IS NOT NULL UNION ALL SELECT file_id, line_no, 1, c, 'struct', 'struct ' || c FROM (SELECT *, {_TYPE.format('struct')} AS c FROM lines WHERE lang = 'rust') WHERE c <> ''",
+    "java": f"SELECT file_id, line_no, 0 AS place, c AS name, 'class' AS kind, 'class ' || c AS signature FROM (SELECT *, {_TYPE.format('class')} AS c FROM lines WHERE lang = 'java') WHERE c <> '' UNION ALL SELECT file_id, line_no, 1, f[1], 'method', f[1] || '(' || f[2] || ')' FROM (SELECT *, {_FUNCTIONS['java']} AS f FROM lines WHERE lang = 'java') WHERE f IS NOT NULL",
+}
 
 
-def windows(text: str, size: int, overlap: int, ends: str) -> str:
+def symbols(lang: str) -> str:
+    return f"WITH {CODE} {_PLAIN_SYMBOLS[lang]}"
+
+
+def generic(where: str = "true") -> str:
+    name = "coalesce(nullif(regexp_extract(line, '(?:function|func|def|fn)\\s+(\\w+)', 1), ''), nullif(regexp_extract(line, 'class\\s+(\\w+)', 1), ''))"
+    return f"SELECT file_id, line_no, 0 AS place, n AS name, 'symbol' AS kind, substring(trim(line, ' ' || chr(9)), 1, 80) AS signature FROM (SELECT *, {name} AS n FROM lines WHERE {where}) WHERE n IS NOT NULL"
+
+
+GENERIC = f"WITH {CODE} {generic()}"
+_PYTHON = """py AS (SELECT lists.file_id, n AS line_no, l[n] AS line, l FROM lists, unnest(range(1, len(l) + 1)) AS t(n) WHERE lang = 'python' AND regexp_matches(l[n], '^(?:class|\\s*def)\\s')),
+pn AS (SELECT *, regexp_extract(line, '^class\\s+(\\w+)(?:\\([^)]*\\))?\\s*:', 1) AS c, regexp_extract(line, '^\\s*def\\s+(\\w+)\\s*\\([^)]*\\)(?:\\s*->\\s*[^:]+)?\\s*:', 1) AS f, regexp_extract(line, '^\\s*def\\s+\\w+\\s*\\(([^)]*)\\)', 1) AS args FROM py),
+ps AS (SELECT *, trim(coalesce(l[line_no + 1], ''), ' ' || chr(9)) AS head, list_transform(range(line_no + 2, least(line_no + 20, len(l)) + 1), lambda i: l[i]) AS rest FROM pn WHERE c <> '' OR f <> ''),
+pd AS (SELECT *, substring(head, 1, 3) AS mark, coalesce(list_position(list_transform(rest, lambda x: contains(x, substring(head, 1, 3))), true), 0) AS stop FROM ps),
+pt AS (SELECT *, CASE WHEN mark NOT IN ('\"\"\"', repeat(chr(39), 3)) THEN NULL WHEN length(head) > 6 AND ends_with(head, mark) THEN substring(head, 4, length(head) - 6)
+    ELSE array_to_string([substring(head, 4)] || CASE WHEN stop = 0 THEN rest ELSE rest[1:stop - 1] || [string_split(rest[stop], mark)[1]] END, chr(10)) END AS doc FROM pd),
+python AS (SELECT file_id, line_no, coalesce(CASE WHEN c <> '' THEN coalesce((SELECT min(i) - 1 FROM unnest(range(line_no + 1, len(l) + 1)) AS u(i) WHERE regexp_matches(l[i], '^\\S')), len(l)) END, line_no)::BIGINT AS line_end, 0 AS place,
+    CASE WHEN c <> '' THEN c ELSE f END AS name, CASE WHEN c <> '' THEN 'class' WHEN starts_with(line, ' ') OR starts_with(line, chr(9)) THEN 'method' ELSE 'function' END AS kind,
+    CASE WHEN c <> '' THEN 'class ' || c ELSE 'def ' || f || '(' || args || ')' END AS signature, regexp_replace(doc, '^\\s+|\\s+$', '', 'g') AS docstring,
+    CASE WHEN c = '' AND regexp_matches(line, '^\\s') THEN (SELECT arg_max(o.c, o.line_no) FROM pn o WHERE o.file_id = pt.file_id AND o.line_no < pt.line_no AND o.c <> '') END AS parent FROM pt)"""
+PYTHON = f"WITH {CODE}, {_PYTHON} SELECT file_id, line_no, line_end, name, kind, signature, docstring, parent FROM python"
+_EVERY = f"""every AS (SELECT file_id, line_no, place, name, kind, signature, docstring FROM python UNION ALL SELECT *, NULL FROM ({" UNION ALL ".join(f"({x})" for x in _PLAIN_SYMBOLS.values())} UNION ALL ({generic("lang NOT IN ('python', 'javascript', 'typescript', 'go', 'rust', 'java')")})))"""
+SUMMARY = f"""WITH {CODE}, {_IMPORTS}, {_PYTHON}, {_EVERY},
+ri AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no, import) AS r, count(*) OVER (PARTITION BY file_id) AS n FROM imported),
+rf AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no, place) AS r, count(*) OVER (PARTITION BY file_id) AS n FROM every WHERE kind = 'function'),
+i AS (SELECT file_id, string_agg('- ' || import, chr(10) ORDER BY r) FILTER (WHERE r <= 10) || CASE WHEN max(n) > 10 THEN chr(10) || '... and ' || (max(n) - 10) || ' more' ELSE '' END AS v FROM ri GROUP BY file_id),
+c AS (SELECT file_id, string_agg('- `' || name || '`' || CASE WHEN docstring <> '' THEN ': ' || substring(docstring, 1, 100) || '...' ELSE '' END, chr(10) ORDER BY line_no, place) AS v FROM every WHERE kind = 'class' GROUP BY file_id),
+f AS (SELECT file_id, string_agg('- `' || signature || '`', chr(10) ORDER BY r) FILTER (WHERE r <= 20) || CASE WHEN max(n) > 20 THEN chr(10) || '... and ' || (max(n) - 20) || ' more' ELSE '' END AS v FROM rf GROUP BY file_id)
+SELECT file_id, '# ' || regexp_extract(path, '[^/]*$', 0) || ' (' || lang || ')' || coalesce(chr(10) || chr(10) || '## Imports' || chr(10) || i.v, '') || coalesce(chr(10) || chr(10) || '## Classes' || chr(10) || c.v, '') || coalesce(chr(10) || chr(10) || '## Functions' || chr(10) || f.v, '') AS summary
+FROM lists LEFT JOIN i USING (file_id) LEFT JOIN c USING (file_id) LEFT JOIN f USING (file_id)"""
+SEARCHABLE = f"""WITH {CODE}, {_PYTHON}, {_EVERY},
+s AS (SELECT file_id, string_agg(kind || ': ' || signature || CASE WHEN docstring <> '' THEN chr(10) || '  ' || docstring ELSE '' END || chr(10), '' ORDER BY line_no, place) AS v FROM every GROUP BY file_id)
+SELECT file_id, 'File: ' || path || chr(10) || 'Language: ' || lang || chr(10) || chr(10) || coalesce(v, '') || chr(10) || content AS searchable_text FROM lists LEFT JOIN s USING (file_id)"""
+
+
+def windows(text: str, size: int, overlap: int, ends: str, source: str = "documents") -> str:
     """Chunks by windows; `ends` gives the end of a window w that begins at s and does not reach the text's end.
 
     reverse() keeps CR LF together, hence the stand-in for CR.
     """
     step = f"least(s + {size}, n)"
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, {text} AS t FROM documents WHERE text <> ''),
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {text} AS t FROM {source} WHERE text <> ''),
 c AS (SELECT doc_id, s, e, n FROM (SELECT doc_id, s, n, CASE WHEN {step} < n THEN {ends} ELSE {step} END AS e FROM (SELECT doc_id, 0::BIGINT AS s, length(t) AS n, replace(substring(t, 1, {size}), chr(13), 'x') AS w FROM d WHERE length(t) > 0))
     UNION ALL SELECT doc_id, s, CASE WHEN {step} < n THEN {ends} ELSE {step} END AS e, n FROM (SELECT doc_id, s, n, replace(substring(t, s + 1, {size}), chr(13), 'x') AS w FROM (SELECT doc_id, CASE WHEN e - {overlap} > s THEN e - {overlap} ELSE e END AS s, n FROM c WHERE e < n) JOIN d USING (doc_id))),
 p AS (SELECT doc_id, s, e, {strip("substring(t, s + 1, e - s)")} AS text FROM c JOIN d USING (doc_id))
@@ -261,13 +308,39 @@ SELECT event_id, user_id, allowed FROM f"""
 CHAT_RETRIEVE = bm25("", 5, "(SELECT conv_id AS qid, string_agg(text, ' ' ORDER BY turn) AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM turns) WHERE p <= 5 AND role = 'user' GROUP BY conv_id)", TURNS.removeprefix("WITH ") + ", ")
 
 
-def summary() -> str:
-    from corpuslane.operators.code_symbols import PATTERNS
-
-    named = " UNION ALL ".join([f"SELECT file_id, line_no, name FROM ({PYTHON})"] + [f"SELECT file_id, line_no, name FROM ({symbols(x, PATTERNS[x])})" for x in ("javascript", "go", "rust", "java")])
+def _packed(text: str, pieces: str) -> str:
+    """Chunks of sentences (most 1000, least 100, overlap 1) by a recursion over chunks on running totals of lengths.
 
-    def first(rows: str, column: str, k: int) -> str:
-        return f"SELECT file_id, string_agg({column}, ', ' ORDER BY r) AS v FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no, {column}) AS r FROM ({rows})) WHERE r <= {k} GROUP BY file_id"
-
-    return f"""SELECT f.file_id, 'File: ' || path || chr(10) || 'Language: ' || {language('path')} || coalesce(chr(10) || 'Imports: ' || i.v, '') || coalesce(chr(10) || 'Symbols: ' || s.v, '') AS summary
-FROM code_files f LEFT JOIN ({first(IMPORTS, 'import', 10)}) i ON i.file_id = f.file_id LEFT JOIN ({first(named, 'name', 20)}) s ON s.file_id = f.file_id"""
+    q holds a stretch's totals of length + 1; a chunk that begins at place b ends at the last place whose total is within
+    1000 of the one at b, 1001 after the first chunk. {pieces} splits the longer sentences.
+    """
+    return f"""norm AS (SELECT doc_id, {text} AS t FROM documents),
+sent AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS k, len(l) AS of FROM (SELECT doc_id, {sentences('t')} AS l FROM norm)),
+mark AS (SELECT *, length(s) > 1000 AS long FROM sent),
+island AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, long ORDER BY k) AS g FROM mark),
+stretch AS (SELECT doc_id, g, min(k) AS k0, max(k) AS k1, any_value(of) AS of, list(s ORDER BY k) AS l, list(length(s) + 1 ORDER BY k) AS n FROM island WHERE NOT long GROUP BY doc_id, g),
+totals AS (SELECT *, list_transform(range(0, len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)::BIGINT) AS q FROM stretch),
+chunk AS (SELECT doc_id, g, 0::BIGINT AS b, greatest(1, len(list_filter(q, lambda x: x <= 1000)) - 1)::BIGINT AS e FROM totals
+    UNION ALL SELECT doc_id, g, b, greatest(e0 + 1, len(list_filter(q, lambda x: x <= q[b + 1] + 1001)) - 1)::BIGINT FROM (SELECT doc_id, g, greatest(c.b, c.e - 1) AS b, c.e AS e0, q FROM chunk c JOIN totals USING (doc_id, g) WHERE c.e < len(n))),
+parts AS (SELECT doc_id, k0 + e - 1 AS k, 0 AS sub, array_to_string(l[b + 1:e], ' ') AS text, k1 = of AND e = len(n) AS tail FROM chunk JOIN totals USING (doc_id, g)
+    UNION ALL SELECT doc_id // 1000000, doc_id % 1000000, chunk_id, text, false FROM ({pieces})),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, sub) AS r FROM parts),
+joined AS (SELECT doc_id, r, CASE WHEN lead(tail AND length(text) < 100) OVER w THEN text || ' ' || lead(text) OVER w ELSE text END AS text, tail AND length(text) < 100 AND r > 1 AS gone FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY r))"""
+
+
+_LONG = "(SELECT doc_id * 1000000 + k AS doc_id, s AS text FROM mark WHERE long)"
+_CORE_LONG = windows("text", 1000, 50, f"CASE WHEN {_DOT} > 500 THEN s + {_DOT} + 1 WHEN {_BLANK} > 500 THEN s + {_BLANK} ELSE s + 1000 END", _LONG)
+_KIT_LONG = windows("text", 1000, 50, f"CASE WHEN {_BLANK} >= 500 THEN s + {_BLANK} + 1 ELSE s + 1000 END", _LONG)
+_CHUNKS = "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1)::INT AS chunk_id, text, 0 AS start_char, 0 AS end_char FROM joined WHERE NOT gone"
+CHUNK_SENTENCES = f"WITH RECURSIVE {_packed(normalize('text'), _CORE_LONG)} {_CHUNKS}"
+CHUNK_SENTENCE_KIT = f"WITH RECURSIVE {_packed(normalize_kit('text'), _KIT_LONG)} {_CHUNKS}"
+_ALLOWED = "'.pdf', '.md', '.markdown', '.txt', '.html', '.rst', '.csv', '.json', '.yaml', '.yml', '.xml', '.log'"
+INGEST = f"""WITH RECURSIVE {_packed(normalize('text'), _CORE_LONG)},
+counts AS (SELECT doc_id, count(*) AS chunks FROM joined WHERE NOT gone GROUP BY doc_id),
+f AS (SELECT doc_id, filename, coalesce('.' || lower(regexp_extract(filename, '[^./]\\.([^./]+)$', 1)) IN ({_ALLOWED}), false) AS good, coalesce(text, '') AS t FROM documents),
+g AS (SELECT *, min(doc_id) FILTER (WHERE good) OVER (PARTITION BY t) AS first, {normalize('t')} AS clean FROM f),
+report AS (SELECT doc_id, filename, substring(sha256(t), 1, 16) AS content_id, CASE WHEN NOT good THEN 'error' WHEN doc_id <> first OR clean = '' THEN 'skipped' ELSE 'success' END AS status,
+    CASE WHEN NOT good THEN 'File type not allowed' WHEN doc_id <> first THEN 'Document already indexed' WHEN clean = '' THEN 'No text extracted' END AS message, CASE WHEN good AND doc_id = first AND clean <> '' THEN coalesce(chunks, 0) ELSE 0 END::BIGINT AS chunks,
+    CASE WHEN good AND doc_id = first AND clean <> '' THEN length(clean) ELSE 0 END::BIGINT AS chars FROM g LEFT JOIN counts USING (doc_id))"""
+INGEST_REPORT = f"{INGEST} SELECT * FROM report"
+INGEST_SUMMARY = f"{INGEST} SELECT count(*) FILTER (WHERE status = 'success') AS total_files, coalesce(sum(chunks), 0)::BIGINT AS total_chunks, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'error') AS errors FROM report"

@@ -54,9 +54,9 @@ def test_symbols(spark):
     go = 'import (\n\t"fmt"\n)\nfunc (s *T) Run(a int) error {\n}\ntype T struct {\n'
     df = spark.createDataFrame([(1, "a.py", python), (2, "b.go", go), (3, "c.unknown", "function z(a) {"), (4, "d.rs", None), (5, "e.js", "export const q = (a) => {\n")], "file_id long, path string, content string")
     assert [(r.name, r.kind, r.parent) for r in code_symbols.python_symbols(df).orderBy("line_no").collect()] == [("A", "class", None), ("m", "method", "A"), ("f", "function", None)]
-    assert sorted((r.file_id, r.name, r.kind) for r in code_symbols.symbols(df).collect()) == [(2, "Run", "function"), (2, "T", "class"), (3, "z", "symbol"), (5, "q", "function")]
+    assert sorted((r.file_id, r.name, r.kind) for r in code_symbols.symbols(df).collect()) == [(2, "Run", "function"), (2, "T", "struct"), (3, "z", "symbol"), (5, "q", "function")]
     assert [(r[0], r[1], r[2].strip()) for r in rows(code_symbols.imports(df))] == [(1, 1, "import os"), (2, 2, "fmt")]
-    assert "Language: go" in {r.file_id: r.summary for r in code_symbols.summary(df).collect()}[2]
+    assert "# b.go (go)" in {r.file_id: r.summary for r in code_symbols.summary(df).collect()}[2]
 
 
 def test_stream_ingest(spark, tmp_path):
