@@ -67,3 +67,12 @@ def judge_score(answer: Column) -> Column:
 
 def answer_quality(faithfulness: Column, relevance: Column, coherence: float = 0.8, completeness: float = 0.8) -> Column:
     return (faithfulness + relevance + coherence + completeness) / 4
+
+
+def summary(means: DataFrame) -> DataFrame:
+    """(summary): one text of the means (metric, k, value): MRR, then recall, precision and NDCG at each k."""
+    four = lambda c: F.format_string("%.4f", c)
+    pick = lambda m: F.coalesce(F.max(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0))
+    by_k = means.groupBy("k").agg(pick("mrr").alias("m"), pick("recall").alias("r"), pick("precision").alias("p"), pick("ndcg").alias("n"))
+    line = F.when(F.col("k") == 0, F.concat(F.lit("MRR: "), four(F.col("m")))).otherwise(F.concat(F.lit("R@"), F.col("k").cast("string"), F.lit(": "), four(F.col("r")), F.lit(" | P@"), F.col("k").cast("string"), F.lit(": "), four(F.col("p")), F.lit(" | NDCG@"), F.col("k").cast("string"), F.lit(": "), four(F.col("n"))))
+    return by_k.select("k", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("summary"))

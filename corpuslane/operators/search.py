@@ -134,3 +134,33 @@ def ensemble(lists: list[tuple[DataFrame, float]], key: str = "doc_id", top_k: i
         whole = whole.unionByName(p)
     scored = whole.groupBy("qid", key).agg(F.round(F.sum("part"), 6).alias("score"))
     return top(scored, ["qid"], [F.desc("score"), F.asc(key)], top_k)
+
+
+def routed(requests: DataFrame, lexical: DataFrame, vector: DataFrame | None, key: str = "doc_id", top_k: int = 10) -> DataFrame:
+    """(qid, method, key, score, rank): each request (qid, method) answered by its method: bm25, embedding or hybrid.
+
+    lexical has twice top_k hits of each request for the fusion. Without vectors, hybrid requests fall back to bm25 and
+    embedding requests have no hits; unknown and null methods are bm25.
+    """
+    asked = requests.select("qid", F.when(F.col("method").isin("embedding", "hybrid"), F.col("method")).otherwise("bm25").alias("method"))
+    if vector is None:
+        asked = asked.where("method <> 'embedding'").withColumn("method", F.lit("bm25"))
+    sides = {"bm25": lexical.where(F.col("rank") <= top_k)}
+    if vector is not None:
+        sides |= {"embedding": vector.where(F.col("rank") <= top_k), "hybrid": fuse(lexical, vector.where(F.col("rank") <= top_k), key, top_k)}
+    parts = [hits.select("qid", key, "score", "rank").join(asked.where(F.col("method") == m), "qid").select("qid", "method", key, "score", "rank") for m, hits in sides.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def invalid(requests: DataFrame, most_k: int = 100, most_length: int = 2000) -> DataFrame:
+    """(qid, error): what is wrong with each request (qid, query, top_k, method), null for good ones.
+
+    A query has 1 to most_length characters, top_k (null: the default) lies between 1 and most_k, and the method is bm25,
+    embedding, hybrid or null.
+    """
+    size = F.coalesce(F.length("query"), F.lit(0))
+    error = F.when((size < 1) | (size > most_length), "query").when(~F.coalesce(F.col("top_k"), F.lit(1)).between(1, most_k), "top_k").when(~F.coalesce(F.col("method"), F.lit("bm25")).isin("bm25", "embedding", "hybrid"), "method")
+    return requests.select("qid", error.alias("error"))

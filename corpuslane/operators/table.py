@@ -105,3 +105,9 @@ def history_window(turns: DataFrame, keep: int = 20) -> DataFrame:
     """The last `keep` turns of each conversation, with their place from the end."""
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     return turns.withColumn("from_end", place).where(F.col("from_end") <= keep)
+
+
+def delete_report(chunks: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, removed): how many rows each asked document loses; 0 for one that is not there."""
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return doc_ids.select("doc_id").distinct().join(counts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("removed"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corpuslane.functions import html as H
 from corpuslane.functions import text as X
-from corpuslane.operators import answer, chunkers, code_symbols, evaluate, search, table
+from corpuslane.operators import answer, chunkers, code_symbols, evaluate, index, search, table, vectors
 from corpuslane.plans import oracle as O
-from corpuslane.session import read
+from corpuslane.session import read, shared_dir
 from corpuslane.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,8 +129,9 @@ def semantic_boundaries(spark, d):
 
 @query()
 def chunk_semantic(spark, d):
-    units = read(spark, d, "embeddings").withColumn("text", F.concat(F.lit("unit "), F.col("vec_id").cast("string")))
-    return chunkers.semantic_chunks(units, "label", "vec_id")
+    """Documents cut where neighbouring packs of sentences have unlike vectors of the hashing encoder."""
+    units = vectors.semantic_units(read(spark, d, "documents").select("doc_id", "text"), vectors.HashingEncoder())
+    return chunkers.semantic_chunks(units, "doc_id", "unit")
 
 
 # chunk table
@@ -188,6 +189,11 @@ def delete_document(spark, d):
     return table.delete_document(chunks, chunks.agg(F.min("doc_id")).first()[0]).select("row_id", "doc_id", "chunk_id")
 
 
+@query("SELECT d.doc_id, (SELECT count(*) FROM chunks c WHERE c.doc_id = d.doc_id) AS removed FROM (SELECT DISTINCT doc_id FROM document_infos) d")
+def delete_report(spark, d):
+    return table.delete_report(read(spark, d, "chunks"), read(spark, d, "document_infos"))
+
+
 @query(f"""WITH f AS (SELECT doc_id, filename, coalesce(lower(regexp_extract(regexp_extract(filename, '[^/]*$', 0), '[^.](\\.[^.]+)$', 1)), '') IN ({', '.join(O.q(x) for x in table.ALLOWED)}) AS good, coalesce(text, '') AS t FROM documents),
     g AS (SELECT *, min(doc_id) FILTER (WHERE good) OVER (PARTITION BY t) AS first, {O.normalize('t')} AS clean FROM f)
     SELECT doc_id, filename, substring(sha256(t), 1, 16) AS content_id, CASE WHEN NOT good THEN 'error' WHEN doc_id <> first OR clean = '' THEN 'skipped' ELSE 'success' END AS status, CASE WHEN good AND doc_id = first AND clean <> '' THEN length(clean) ELSE 0 END::BIGINT AS chars FROM g""")
@@ -220,29 +226,54 @@ def _asked_vectors(spark, d):
     return read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
+def _index(spark, d):
+    """The stored index of the documents as they are now, built by the first query that asks for it."""
+    return index.ensure(read(spark, d, "documents"))
+
+
 @query(f"WITH {O.BM25_BASE} SELECT doc_id, term, tf, dl FROM postings")
 def postings(spark, d):
-    return search.postings(read(spark, d, "documents"), "doc_id").withColumn("dl", F.col("dl").cast("bigint"))
+    return _index(spark, d).postings()
 
 
 @query(f"WITH {O.BM25_BASE} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def term_stats(spark, d):
-    docs = read(spark, d, "documents")
-    return search.term_stats(search.postings(docs, "doc_id"), search.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
+    return _index(spark, d).terms().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(O.INDEX_STATS)
+def retriever_stats(spark, d):
+    return _index(spark, d).stats().withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(O.bm25("WHERE item_id = (SELECT min(item_id) FROM eval_items)", 5))
 def bm25_search(spark, d):
     items = _queries(spark, d)
     first = items.join(F.broadcast(items.agg(F.min("qid").alias("qid"))), "qid", "left_semi")
-    return search.bm25_search(read(spark, d, "documents"), first, 5)
+    return _index(spark, d).search(first, 5)
 
 
 @query(O.bm25("", TOP_K))
 def bm25_batch(spark, d):
+    return _index(spark, d).search(_queries(spark, d), TOP_K)
+
+
+@query(O.bm25("", TOP_K))
+def bm25_unindexed(spark, d):
+    """The same search over texts that are not indexed."""
     return search.bm25_search(read(spark, d, "documents"), _queries(spark, d), TOP_K)
 
 
+@query(O.bm25("", TOP_K))
+def bm25_appended(spark, d):
+    """The same search over an index made of two appends."""
+    docs = read(spark, d, "documents")
+    made = index.Index(spark, f"{shared_dir(spark)}/bm25/appended-{index.version(docs, 'doc_id', 'text')}")
+    if not made.ready:
+        made.append(docs.where("doc_id % 3 = 0")).append(docs.where("doc_id % 3 <> 0"))
+    return made.search(_queries(spark, d), TOP_K)
+
+
 @query(O.vector("q.vec_id = (SELECT min(vec_id) FROM embeddings)", 10, 0.5))
 def vector_search(spark, d):
     v = read(spark, d, "embeddings")
@@ -269,7 +300,7 @@ def _vector_side(spark, d, k):
 
 @query(O.HYBRID)
 def hybrid_search(spark, d):
-    return search.fuse(search.bm25_search(read(spark, d, "documents"), _queries(spark, d), 2 * TOP_K), _vector_side(spark, d, TOP_K), "doc_id", TOP_K)
+    return search.fuse(_index(spark, d).search(_queries(spark, d), 2 * TOP_K), _vector_side(spark, d, TOP_K), "doc_id", TOP_K)
 
 
 @query(O.ENSEMBLE)
@@ -282,7 +313,7 @@ def ensemble_rerank(spark, d):
 
 def _cited(spark, d, k=TOP_K):
     docs = read(spark, d, "documents").select("doc_id", F.col("filename").alias("path"), "text")
-    return answer.citations(search.bm25_search(docs, _queries(spark, d), k), docs, _queries(spark, d))
+    return answer.citations(_index(spark, d).search(_queries(spark, d), k), docs, _queries(spark, d))
 
 
 @query(O.CITATIONS)
@@ -305,9 +336,50 @@ def extractive_answer(spark, d):
     return answer.extractive_answer(_cited(spark, d, 3), _queries(spark, d))
 
 
-@query(O.EXTRACTIVE)
+@query(O.ASK)
 def ask(spark, d):
-    return answer.extractive_answer(_cited(spark, d, 3), _queries(spark, d))
+    """Answers by routing: without a writer at hand, extractive ones."""
+    return answer.routed_answer(_cited(spark, d, 3), _queries(spark, d))
+
+
+@query(O.ROUTED)
+def search_routed(spark, d):
+    names = F.element_at(F.array(F.lit("bm25"), F.lit("embedding"), F.lit("hybrid"), F.lit(None).cast("string")), (F.col("qid") % 4 + 1).cast("int"))
+    return search.routed(_queries(spark, d).withColumn("method", names), _index(spark, d).search(_queries(spark, d), 2 * TOP_K), _vector_side(spark, d, TOP_K))
+
+
+@query(O.INVALID)
+def validate_requests(spark, d):
+    """Expected answers stand for queries, some with a bad number of hits or method."""
+    items = read(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("expected_answer").alias("query"), (F.col("item_id") % 150).alias("top_k"), F.when(F.col("item_id") % 7 == 0, "fuzzy").alias("method"))
+    return search.invalid(items)
+
+
+@query(O.RERANKED)
+def rerank_scorer(spark, d):
+    return vectors.rerank(bm25_batch(spark, d), read(spark, d, "documents"), _queries(spark, d), vectors.overlap_scorer)
+
+
+@query(O.ENCODED)
+def encode_hashing(spark, d):
+    """Vectors of all documents by the hashing encoder, as their filled slots."""
+    found = vectors.encode(read(spark, d, "documents").withColumn("text", F.array_join(X.tokens(F.col("text")), " ")), encoder=vectors.HashingEncoder(64))
+    return found.select("doc_id", F.posexplode("embedding").alias("slot", "value")).where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+@query(O.UPSERTED)
+def vector_maintain(spark, d):
+    """A tenth of the vectors turned around in place and added again under new ids, then a seventh deleted."""
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    tenth = rows.where("vec_id % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    put = vectors.upsert(rows, tenth.unionByName(tenth.withColumn("vec_id", F.col("vec_id") + 1_000_000)))
+    kept = vectors.delete(put, put.where("vec_id % 7 = 3"))
+    return kept.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), "label")
+
+
+@query("SELECT count(*) AS vectors, coalesce(max(len(embedding)), 0)::BIGINT AS dimensions FROM embeddings")
+def vector_stats(spark, d):
+    return vectors.stats(read(spark, d, "embeddings"))
 
 
 # evaluation: a vector's own label tells what is relevant to it
@@ -340,6 +412,11 @@ def eval_batch(spark, d):
     return evaluate.eval_batch(_runs(spark, d))
 
 
+@query(O.EVAL_SUMMARY)
+def eval_summary(spark, d):
+    return evaluate.summary(evaluate.eval_batch(_runs(spark, d)))
+
+
 @query(f"SELECT metric, k, round(avg(value), 6) AS value, count(DISTINCT qid) AS queries FROM ({O.EVAL_SINGLE}) WHERE k IN (0, 1, 3, 5, 10) AND metric IN ('recall', 'precision', 'ndcg', 'mrr') GROUP BY metric, k")
 def eval_script_aggregate(spark, d):
     rows = evaluate.eval_single(_runs(spark, d), (1, 3, 5, 10)).where("metric in ('recall', 'precision', 'ndcg', 'mrr')")
@@ -382,7 +459,28 @@ def chat_history_window(spark, d):
 
 @query(O.CHAT_RETRIEVE)
 def chat_retrieve(spark, d):
-    return search.bm25_search(read(spark, d, "documents"), answer.context_query(_turns(spark, d)).withColumnRenamed("conv_id", "qid"), 5)
+    return _index(spark, d).search(answer.context_query(_turns(spark, d)).withColumnRenamed("conv_id", "qid"), 5)
+
+
+@query(O.CHAT_TURN)
+def chat_turn(spark, d):
+    """Every conversation with its extractive answer added, the last 20 turns of it."""
+    turns = _turns(spark, d).withColumn("turn", F.col("turn").cast("bigint"))
+    asked = answer.last_user(turns).select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
+    docs = read(spark, d, "documents").select("doc_id", F.col("filename").alias("path"), "text")
+    cited = answer.citations(chat_retrieve(spark, d), docs, asked)
+    return answer.chat_turn(turns, answer.extractive_answer(cited, asked).withColumnRenamed("qid", "conv_id"))
+
+
+@query(f"{O.TURNS} SELECT * FROM turns WHERE conv_id <> (SELECT min(conv_id) FROM turns)")
+def delete_conversation(spark, d):
+    turns = _turns(spark, d).withColumn("turn", F.col("turn").cast("bigint"))
+    return turns.join(F.broadcast(turns.agg(F.min("conv_id").alias("conv_id"))), "conv_id", "left_anti")
+
+
+@query("SELECT email_id, subject FROM parsed_emails ORDER BY email_id DESC LIMIT 25")
+def latest_mails(spark, d):
+    return read(spark, d, "parsed_emails").orderBy(F.desc("email_id")).limit(25).select("email_id", "subject")
 
 
 @query(f"{O.TURNS} SELECT * FROM turns WHERE conv_id = (SELECT min(conv_id) FROM turns)")

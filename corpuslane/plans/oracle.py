@@ -167,6 +167,7 @@ b AS {_NORM.format('lex')}, l AS {_NORM.format('len')},
 s AS (SELECT qid, doc_id, round(sum(part), 6) AS score FROM (SELECT qid, doc_id, norm * 2.0 / 3.0 AS part FROM b UNION ALL SELECT qid, doc_id, norm / 3.0 FROM l) GROUP BY qid, doc_id)
 SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s"""
 
+_NONE = "I couldn''t find any relevant information in the indexed documents for your question."
 _CITED = "WITH hits AS ({0}), cited AS (SELECT qid, doc_id, rank, score, filename AS path, text FROM hits JOIN documents USING (doc_id))"
 _BASE = "regexp_extract(path, '[^/]*$', 0)"
 CITATIONS = f"""WITH hits AS ({bm25('', 10)}),
@@ -181,13 +182,12 @@ e AS (SELECT *, least(length(text), s + 300) AS e, strpos(substring(text, s + 1,
 b AS (SELECT *, CASE WHEN s > 0 AND ahead > 0 THEN s + ahead ELSE s END AS b, strpos(reverse(substring(text, e - 19, 20)), ' ') AS back FROM e),
 z AS (SELECT *, CASE WHEN e < length(text) AND back > 0 THEN e - back ELSE e END AS z FROM b)
 SELECT qid, doc_id, rank, score, path, (CASE WHEN b > 0 THEN '...' ELSE '' END) || {strip('substring(text, b + 1, greatest(z - b, 0))')} || (CASE WHEN z < length(text) THEN '...' ELSE '' END) AS highlight FROM z"""
-FORMAT_CONTEXT = _CITED.format(bm25("", 3)) + f" SELECT qid, string_agg('[Source: ' || {_BASE} || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM cited GROUP BY qid"
+FORMAT_CONTEXT = _CITED.format(bm25("", 3)) + f" SELECT qid, string_agg('[Source: ' || {_BASE} || ', Chunk #0]' || chr(10) || text || chr(10), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM cited GROUP BY qid"
 PROMPT_CONTEXT = _CITED.format(bm25("", 5)) + " SELECT qid, string_agg('[' || rank || '] ' || substring(text, 1, 500), chr(10) ORDER BY rank) AS context FROM cited GROUP BY qid"
-EXTRACTIVE = (
-    _CITED.format(bm25("", 3))
-    + f", a AS (SELECT qid, string_agg('**' || {_BASE} || '** (score ' || round(score, 2)::DECIMAL(18, 2)::VARCHAR || '):' || chr(10) || {excerpt('text')}, chr(10) || chr(10) ORDER BY rank) AS a FROM cited GROUP BY qid)"
-    + " SELECT item_id AS qid, coalesce(a, 'No relevant information was found in the indexed documents.') AS answer FROM eval_items LEFT JOIN a ON qid = item_id"
-)
+_ANSWER = f"""string_agg('**[' || rank || '] From: ' || {_BASE} || '** (relevance: ' || round(score, 2)::DECIMAL(18, 2)::VARCHAR || ')' || chr(10) || '> ' || {excerpt('text')}, chr(10) ORDER BY rank)"""
+_AROUND = "'Based on your indexed documents, here are the most relevant excerpts:' || chr(10) || chr(10) || {0} || chr(10) || chr(10) || '---' || chr(10) || '*This is an extractive answer based on BM25 retrieval.*'"
+EXTRACTIVE = _CITED.format(bm25("", 3)) + f", a AS (SELECT qid, {_AROUND.format(_ANSWER)} AS a FROM cited GROUP BY qid) SELECT item_id AS qid, coalesce(a, '{_NONE}') AS answer FROM eval_items LEFT JOIN a ON qid = item_id"
+ASK = f"SELECT qid, answer, 'extractive' AS method FROM ({EXTRACTIVE})"
 
 _RUNS = f"""hits AS ({vector('q.vec_id % 100 = 0', 20, None)}),
 flags AS (SELECT hits.qid, rank, (v.label = o.label)::INT AS hit, (SELECT count(*) FROM embeddings x WHERE x.label = o.label) AS total FROM hits JOIN embeddings v ON v.vec_id = hits.vec_id JOIN embeddings o ON o.vec_id = hits.qid),
@@ -344,3 +344,32 @@ report AS (SELECT doc_id, filename, substring(sha256(t), 1, 16) AS content_id, C
     CASE WHEN good AND doc_id = first AND clean <> '' THEN length(clean) ELSE 0 END::BIGINT AS chars FROM g LEFT JOIN counts USING (doc_id))"""
 INGEST_REPORT = f"{INGEST} SELECT * FROM report"
 INGEST_SUMMARY = f"{INGEST} SELECT count(*) FILTER (WHERE status = 'success') AS total_files, coalesce(sum(chunks), 0)::BIGINT AS total_chunks, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'error') AS errors FROM report"
+_REQUESTS = "requests AS (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'bm25' WHEN 1 THEN 'embedding' WHEN 2 THEN 'hybrid' END AS method FROM eval_items)"
+ROUTED = f"""WITH {_REQUESTS}, lx AS ({bm25('', 10)}), vx AS (SELECT qid, vec_id AS doc_id, score, rank FROM ({vector('q.vec_id IN (SELECT item_id FROM eval_items)', 10, 0.5)})), hx AS ({HYBRID})
+SELECT qid, 'bm25' AS method, doc_id, score, rank FROM lx JOIN requests USING (qid) WHERE coalesce(method, 'bm25') = 'bm25' UNION ALL SELECT qid, method, doc_id, score, rank FROM vx JOIN requests USING (qid) WHERE method = 'embedding' UNION ALL SELECT qid, method, doc_id, score, rank FROM hx JOIN requests USING (qid) WHERE method = 'hybrid'"""
+INVALID = "SELECT item_id AS qid, CASE WHEN length(coalesce(expected_answer, '')) NOT BETWEEN 1 AND 2000 THEN 'query' WHEN item_id % 150 NOT BETWEEN 1 AND 100 THEN 'top_k' WHEN item_id % 7 = 0 THEN 'method' END AS error FROM eval_items"
+INDEX_STATS = f"WITH {BM25_BASE} SELECT (SELECT n FROM corpus) AS documents, (SELECT count(*) FROM terms) AS terms, round((SELECT avgdl FROM corpus), 6) AS avgdl"
+_DIM = 64
+
+
+def _encoded(text: str, source: str) -> str:
+    """Vectors (key, e) of texts (key, text): signed counts of tokens in slots by their MD5, divided by their length."""
+    four = " + ".join(f"(strpos('0123456789abcdef', substring(h, {k + 1}, 1)) - 1) * {16 ** (3 - k)}" for k in range(4))
+    return f"""hashed AS (SELECT key, ({four}) % {_DIM} AS slot, CASE WHEN substring(h, 5, 1) < '8' THEN 1 ELSE -1 END AS sign FROM (SELECT key, md5(unnest({tokens(text)})) AS h FROM {source})),
+slots AS (SELECT key, slot, sum(sign)::DOUBLE AS v FROM hashed GROUP BY key, slot),
+norms AS (SELECT key, sqrt(sum(v * v)) AS n FROM slots GROUP BY key)"""
+
+
+ENCODED = f"WITH {_encoded('text', '(SELECT doc_id AS key, text FROM documents)')} SELECT key AS doc_id, slot::INT AS slot, round((v / n)::FLOAT::DOUBLE, 4) AS value FROM slots JOIN norms USING (key) WHERE v <> 0"
+RERANKED = f"""WITH hits AS ({bm25('', 10)}),
+w AS (SELECT item_id AS qid, list_distinct(list_filter(string_split_regex(lower(query), '\\s+'), lambda x: x <> '')) AS w FROM eval_items),
+s AS (SELECT qid, doc_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, string_split_regex(lower(coalesce(text, '')), '\\s+')))::DOUBLE / len(w) END, 6) AS score FROM hits JOIN documents USING (doc_id) JOIN w USING (qid))
+SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s"""
+UPSERTED = "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE AS first, label FROM embeddings WHERE vec_id % 7 <> 3 UNION ALL SELECT vec_id + 1000000, -embedding[1]::DOUBLE, label FROM embeddings WHERE vec_id % 10 = 0 AND (vec_id + 1000000) % 7 <> 3"
+CHAT_TURN = f"""{TURNS}, hits AS ({CHAT_RETRIEVE.replace('WITH ' + TURNS.removeprefix('WITH ') + ', ', 'WITH ')}),
+cited AS (SELECT qid, doc_id, rank, score, filename AS path, text FROM hits JOIN documents USING (doc_id) WHERE rank <= 3), a AS (SELECT qid, {_AROUND.format(_ANSWER)} AS a FROM cited GROUP BY qid),
+every AS (SELECT conv_id, turn, role, text FROM turns UNION ALL SELECT u.conv_id, m + 1, 'assistant', coalesce(a, '{_NONE}') FROM (SELECT conv_id, max(turn) AS m FROM turns GROUP BY conv_id) u JOIN (SELECT DISTINCT conv_id FROM turns WHERE role = 'user') USING (conv_id) LEFT JOIN a ON a.qid = u.conv_id)
+SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM every) WHERE p <= 20"""
+EVAL_SUMMARY = f"""WITH m AS (SELECT metric, k, round(avg(value), 6) AS value FROM ({EVAL_SINGLE}) GROUP BY metric, k),
+l AS (SELECT k, CASE WHEN k = 0 THEN 'MRR: ' || printf('%.4f', max(value)) ELSE 'R@' || k || ': ' || printf('%.4f', max(value) FILTER (WHERE metric = 'recall')) || ' | P@' || k || ': ' || printf('%.4f', max(value) FILTER (WHERE metric = 'precision')) || ' | NDCG@' || k || ': ' || printf('%.4f', max(value) FILTER (WHERE metric = 'ndcg')) END AS line FROM m GROUP BY k)
+SELECT string_agg(line, chr(10) ORDER BY k) AS summary FROM l"""

@@ -43,13 +43,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df by a reliable checkpoint in the cluster's shared folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a single host) a
-    folder of the session's own is used.
+    Where that is unset, a local master (tests, a single host) gets a folder of its own; on a cluster it is an error, as
+    a folder of one machine would be lost with it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpuslane-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="corpuslane-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df by a reliable checkpoint in the shared folder (see shared_dir)."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -5,10 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import hashlib
-import mailbox
-import os
 import re
-import tempfile
 from collections.abc import Iterator
 from email.header import decode_header
 from email.utils import parsedate_to_datetime
@@ -31,9 +28,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.where((F.col("length") <= MOST_BYTES) & suffix(name).isin(*ALLOWED, ".eml", ".mbox", ".htm")).select("path", name.alias("filename"), suffix(name).alias("extension"), "content", F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"))
 
 
+def encoding(content: Column) -> Column:
+    """utf-16 where the bytes begin with its mark, utf-8 where they are valid as that, else latin-1."""
+    mark = F.hex(F.substring(content, 1, 2))
+    return F.when(mark.isin("FFFE", "FEFF"), "utf-16").when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("latin-1")
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 where they are valid, else as Latin-1; one kind of line end."""
-    return F.regexp_replace(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1")), "\r\n?", "\n")
+    """Bytes as text by their encoding; one kind of line end."""
+    name = encoding(content)
+    text = F.when(name == "utf-16", F.decode(content, "UTF-16")).when(name == "utf-8", content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.regexp_replace(text, "\r\n?", "\n")
 
 
 def markdown_metadata(text: Column) -> Column:
@@ -103,14 +108,9 @@ EMAIL_SCHEMA = "path string, message_id string, subject string, from_address str
 
 def messages(content: bytes, is_box: bool) -> Iterator[dict]:
     """The messages of a file; unreadable ones have only an error."""
-    raws: list[bytes] = [content]
+    raws = [x for x in re.split(rb"(?m)^From .*\n", content) if x.strip()] if is_box else [content]
     if is_box:
-        with tempfile.NamedTemporaryFile(suffix=".mbox", delete=False) as f:
-            f.write(content)
-        try:
-            raws = [m.as_bytes() for m in mailbox.mbox(f.name)]
-        finally:
-            os.unlink(f.name)
+        raws = [re.sub(rb"(?m)^>(>*From )", rb"\1", x) for x in raws]
     for raw in raws:
         try:
             yield parse_message(raw) | {"error": None}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuslane.operators.table import ingest
+from corpuslane.session import exists
 
 
 def start_ingest(files: DataFrame, table: str, checkpoint: str, name: str = "filename", text: str = "text", once: bool = True) -> StreamingQuery:
@@ -20,25 +21,26 @@ def start_ingest(files: DataFrame, table: str, checkpoint: str, name: str = "fil
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            held = spark.read.parquet(table).select("content_id")
-        except Exception:  # noqa: BLE001 - the table does not exist yet
-            held = None
+        held = spark.read.parquet(table).select("content_id") if exists(spark, table) else None
         ingest(batch, held, name, text).write.mode("append").parquet(table)
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def rate_limited_stream(requests: DataFrame, most: int, seconds: int, client: str = "user_id", at: str = "ts", key: str = "event_id") -> DataFrame:
+def rate_limited_stream(requests: DataFrame, most: int, seconds: int, client: str = "user_id", at: str = "ts", key: str = "event_id", expire: bool = False) -> DataFrame:
     """(key, client, at, allowed): the sliding log of the batch form, with the allowed times of a client as state.
 
-    The state holds at most `most` times. Requests of one trigger are taken in order of time; later ones than those
-    already decided are not reordered.
+    The state holds at most `most` times; with expire it goes when its client has been silent for `seconds` of
+    processing time, for streams that run on (a trigger that ends, as availableNow, would wait for timeouts forever).
+    Requests of one trigger are taken in order of time; later ones than those already decided are not reordered.
     """
     t = dict(requests.dtypes)
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["micros", key])
         allowed = []
@@ -48,10 +50,12 @@ def rate_limited_stream(requests: DataFrame, most: int, seconds: int, client: st
             if allowed[-1]:
                 log.append(int(now))
         state.update((log,))
+        if expire:
+            state.setTimeoutDuration(seconds * 1000)
         yield rows.assign(allowed=allowed)[[key, client, at, "allowed"]]
 
     keyed = requests.where(F.col(client).isNotNull() & F.col(at).isNotNull()).select(key, client, at, F.unix_micros(F.col(at).cast("timestamp")).alias("micros"))
-    return keyed.groupBy(client).applyInPandasWithState(run, f"{key} {t[key]}, {client} {t[client]}, {at} {t[at]}, allowed boolean", "log array<bigint>", "append", "NoTimeout")
+    return keyed.groupBy(client).applyInPandasWithState(run, f"{key} {t[key]}, {client} {t[client]}, {at} {t[at]}, allowed boolean", "log array<bigint>", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")
 
 
 def history_stream(turns: DataFrame, keep: int = 20) -> DataFrame:
