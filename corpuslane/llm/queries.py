@@ -75,6 +75,17 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_counts(read(spark, d, "documents")), capacities)
 
 
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per budget: documents placed, pieces placed twice, places in a container taken twice, overfull containers, tokens lost."""
+    packed = p8_packed(spark, d)
+    counted = packing.token_counts(read(spark, d, "documents")).agg(F.sum("tokens").alias("all"))
+    pieces = packed.groupBy("budget_id", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("piece").alias("m"), F.sum("tokens").alias("t"))
+    items = pieces.groupBy("budget_id").agg(F.count("*").alias("documents"), F.sum(F.col("n") - F.col("m")).alias("repeated"), F.sum("t").alias("t"))
+    held = packed.groupBy("budget_id", "capacity", "container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.count_distinct("place").alias("m"))
+    boxes = held.groupBy("budget_id").agg(F.sum(F.col("n") - F.col("m")).alias("clashes"), F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    return items.join(boxes, "budget_id").crossJoin(F.broadcast(counted)).select("budget_id", "documents", "repeated", "clashes", "overfull", (F.col("all") - F.col("t")).alias("lost"))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
@@ -104,5 +115,9 @@ p AS (SELECT a.row_id AS ra, b.row_id AS rb, count(*) AS k FROM s a JOIN s b ON
 SELECT ra AS row_id_a, rb AS row_id_b FROM p JOIN n x ON x.row_id = ra JOIN n y ON y.row_id = rb WHERE k >= 0.5 * (x.c + y.c - k)"""
 
 
+#: What must hold of any packing.
+P8_SQL = "SELECT budget_id, (SELECT count(*) FROM documents) AS documents, 0 AS repeated, 0 AS clashes, 0 AS overfull, 0 AS lost FROM token_budgets"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p3_found": P3_SQL, "p8_audit": P8_SQL}
