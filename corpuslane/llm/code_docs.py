@@ -176,6 +176,22 @@ def _signature(args: str, language: str) -> str:
     return str(len([p for p in parts if p not in ("self", "cls", "*", "/")]))
 
 
+def _is_stub(code: str, at: int, indent: int) -> bool:
+    """Whether a Python body from `at` on (comments and strings blanked) says no more than that it is to be written."""
+    low, first = at, True
+    said = []
+    while low <= len(code) and len(said) < 2:
+        high = code.find("\n", low)
+        high = len(code) if high < 0 else high
+        line = code[low:high]
+        if line.strip():
+            if not first and len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip()) <= indent:
+                break
+            said.append(line.strip())
+        low, first = high + 1, False
+    return not said or len(said) == 1 and (said[0] in ("...", "pass") or said[0].startswith("raise NotImplementedError"))
+
+
 def functions(source: str, language: str) -> Iterator[tuple]:
     """(name, parent, parents, signature, line_start, has_body, declaration, documentation) of each function."""
     source = source.replace("\r\n", "\n")  # lines keep their numbers
@@ -198,7 +214,7 @@ def functions(source: str, language: str) -> Iterator[tuple]:
                 parent = re.sub(r"[^\w ]", "", m["of"]).split(" ")[-1]
             args = m["args"] or m.groupdict().get("args2") or ""
             documentation = _docstring(source, spans, m.end("end")) if language == "python" else _comment_above(source, spans, at, language)
-            yield name, parent, parents, _signature(args, language), bisect_right(line_starts, at), m["end"] != ";", " ".join(source[at : m.end("decl")].rstrip("{;:").split()), documentation
+            yield name, parent, parents, _signature(args, language), bisect_right(line_starts, at), not _is_stub(code, m.end("end"), indent) if language == "python" else m["end"] != ";", " ".join(source[at : m.end("decl")].rstrip("{;:").split()), documentation
 
 
 def symbols(files: DataFrame) -> DataFrame:

@@ -71,6 +71,14 @@ def test_documented(spark):
     assert code_docs.documented(table.limit(0)).count() == 0
 
 
+def test_python_stubs_are_declarations(spark):
+    base = 'class Store(Protocol):\n    def load(self, path):\n        """Read all rows of the given table."""\n        ...\n\n    def save(self, path, rows):\n        """Write rows to the given table."""\n        raise NotImplementedError("save")\n\n    def size(self):\n        """Count rows of the whole table."""\n        return 1\n'
+    own = "class Disk(Store):\n    def load(self, path):\n        return open(path)\n\n    def save(self, path):\n        return 0\n\n    def size(self):\n        return 2\n"
+    files = spark.createDataFrame([(1, "a.py", None, base), (2, "b.py", "python", own)], "file_id long, path string, language string, content string")
+    got = [(r.file_id, r.name, r.source) for r in code_docs.documented(files).orderBy("file_id", "line_start").collect()]
+    assert got == [(1, "load", "own"), (1, "save", "own"), (1, "size", "own"), (2, "load", "declared")]  # save has another signature, size a body
+
+
 @pytest.mark.parametrize("doc, name, want", [("Load the file.", "load_file", True), ("closes scores quickly now", "close_score", False), ("Method to parse the index queue.", "parseIndexQueue", True), ("Args:\n    a: the first of all the numbers", "f", True), ("", "f", True), ("...", "f", True), ("Documentation will follow in a later release.", "f", True), ("Fetch queue once the gateway answers again.", "fetch_queue", False)])
 def test_trivial(doc, name, want):
     assert code_docs.trivial(doc, name) is want
